@@ -1,8 +1,8 @@
-"""The registered queries of the sequence operators, each with its SQL."""
+"""The registered queries of the sequence operators, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cadenza.plans import language_queries, model_queries, search_queries, signal_queries  # noqa: F401
+from cadenza.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return model_queries.frame_classes(spark, sf_dir)
