@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Upper bounds of one Arrow batch between the JVM and a Python worker; whichever is met first ends a batch.
@@ -60,14 +60,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def remainder(doc_id: Column | str) -> Column:
-    """crc32 of the id as text, modulo 3; a null id counts as empty text. Rows with 1 are held out from all training."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % 3
+    """crc32 of the id as text, modulo 3 (null for a null id). Rows with 1 are held out from all training."""
+    return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % 3
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(remainder(doc_id) == 1, F.lit(False))
 
 
+#: Slices of ids from which a bounded sample takes equal numbers.
+SLICES = 64
+
+
+def bounded_sample(ids: DataFrame, group: str, most: int, seed: int) -> DataFrame:
+    """About `most` rows (doc_id, group) of each group at most, evenly from SLICES slices of the ids' hash, with the
+    rank k within a slice. Each slice is ranked by itself and limited before the shuffle, so no task holds a group."""
+    h = ids.withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(seed))).withColumn("_slice", F.pmod("h", F.lit(SLICES)))
+    k = F.row_number().over(Window.partitionBy(group, "_slice").orderBy("h", "doc_id"))
+    return h.withColumn("k", k).where(F.col("k") <= -(-most // SLICES)).drop("_slice")
+
+
 def texts_of(column) -> list[str]:
     """The Python strings of an Arrow array; null becomes the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -12,19 +12,19 @@ table gives no rows. Clashing input columns are replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bound_batches, remainder, without
+from cadenza.llm.common import bound_batches, bounded_sample, remainder, without
 
 WINDOW, EMBEDDED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 12
 #: Bounds of the training sample: documents a language, documents in all, windows a document.
 DOCS_A_LANGUAGE, DOCS, WINDOWS = 400, 6_400, 12
+LEAST_STEPS = 150
 _LETTER = regex.compile(r"\p{L}")
 _K = max(WIDTHS)
 
@@ -75,7 +75,8 @@ class Network:
         rng, m, v, t = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         share = np.bincount(y, minlength=len(self.p["c"])).clip(1)
         weight = (len(y) / (share * len(share)))[y].astype(np.float32)
-        for epoch in range(epochs):
+        epochs = max(epochs, LEAST_STEPS * 128 // len(raw))  # a small sample is seen more often
+        for _ in range(epochs):
             for at in np.array_split(rng.permutation(len(raw)), max(1, len(raw) // 128)):
                 r, x = self._responses(raw[at])
                 best = r.argmax(axis=1)
@@ -102,12 +103,8 @@ class Network:
 
 def sample(docs: DataFrame, text: str = "text", lang: str = "lang") -> list:
     """(lang, windows) of a bounded number of labelled documents, in the order of a hash of their id."""
-    from cadenza.llm.common import materialize  # noqa: F401
-
     can = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.coalesce(remainder("doc_id"), F.lit(0)) != 1))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = can.select("doc_id", F.col(lang).alias("lang"), F.xxhash64(F.col("doc_id"), F.lit(5)).alias("h"))
-    chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= DOCS_A_LANGUAGE).orderBy("k", "h", "lang").limit(DOCS)
+    chosen = bounded_sample(can.select("doc_id", F.col(lang).alias("lang")), "lang", DOCS_A_LANGUAGE, 5).orderBy("k", "h", "lang").limit(DOCS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -135,11 +135,11 @@ class Scanner:
         found = []
         for k, places in hits.items():
             name, t = self.templates[k]
-            reach, end = len(t) + SLACK, -1
+            reach, end = len(t) + SLACK, 0
             for p in places:
                 if p < end:  # within the last finding of this template
                     continue
-                lo = max(0, p - reach)
+                lo = max(end, p - reach)
                 window = words[lo : p + reach]
                 if sum((Counter(window) & Counter(t)).values()) < self.coverage * len(t):
                     continue

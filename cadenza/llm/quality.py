@@ -15,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bound_batches, remainder, texts_of, without
+from cadenza.llm.common import bound_batches, bounded_sample, remainder, texts_of, without
 
 PASSAGE, PAIRS, HIDDEN, GATE = 512, 768, 32, 16
 #: Bounds of the training sample: documents a class, passages a document.
 DOCS_A_CLASS, PASSAGES = 1_200, 24
+LEAST_STEPS = 300
 _SIZE = 256 + PAIRS
 #: And how many kinds of pairs a passage has for its length, and its length.
 _INPUTS = _SIZE + 2
@@ -95,6 +96,7 @@ class Network:
         x, n = features(raw), len(y)
         rng, m, s, t = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         first = np.searchsorted(owner, np.arange(n + 1))
+        epochs = max(epochs, LEAST_STEPS * 64 // n)  # few labels are seen more often
         for _ in range(epochs):
             for docs in np.array_split(rng.permutation(n), max(1, n // 64)):
                 rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in docs])
@@ -122,9 +124,8 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list:
     """(quality, passages) of a bounded number of labelled documents, in the order of a hash of their id."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(remainder("doc_id") != 1)
-    here = docs.select("doc_id").join(known, "doc_id").distinct().withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(4)))
-    k = F.row_number().over(Window.partitionBy("quality").orderBy("h", "doc_id"))
-    chosen = here.withColumn("k", k).where(F.col("k") <= DOCS_A_CLASS).select("doc_id", "quality")  # two classes
+    here = docs.select("doc_id").join(known, "doc_id").distinct()
+    chosen = bounded_sample(here, "quality", DOCS_A_CLASS, 4).select("doc_id", "quality")  # two classes
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

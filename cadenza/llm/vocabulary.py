@@ -135,12 +135,14 @@ class WordSplitter:
             low = part.lower()
             if low.isalpha():
                 return [low]
-            if not SEPARATORS.search(part):
+            if low.isprintable():  # printable ASCII stands for itself
                 return _WORD_ASCII.findall(low)
+            if not SEPARATORS.search(part):
+                return [w.translate(self.letters) for w in _WORD_ASCII.findall(low)]
         elif max(part) < "\u0250" and not SEPARATORS.search(part):
             low, letters = unicodedata.normalize("NFC", part).lower(), self.letters
             found = (low,) if low.isalpha() else _WORD_LATIN.findall(low)
-            return [w if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in found]
+            return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters) for w in found]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
 
 
