@@ -50,6 +50,11 @@ def remove_dc(df: DataFrame, chunk: int, upto: int = DC_SAMPLES) -> DataFrame:
     return out.withColumn("x", F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), rounded.cast("double")))).drop("_k", "_mean")
 
 
+def strip_zero_vectors(df: DataFrame) -> DataFrame:
+    """Frames whose vector is not all zero."""
+    return df.where(F.exists("vec", lambda x: x != 0))
+
+
 def swap_bytes(x: Column) -> Column:
     """A 16-bit sample with its two bytes exchanged."""
     u = F.pmod(x.cast("int"), F.lit(65536))

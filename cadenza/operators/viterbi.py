@@ -245,3 +245,19 @@ def lattice_of(trellis: DataFrame) -> tuple[DataFrame, DataFrame]:
     a, b = nodes.alias("a"), nodes.alias("b")
     edges = a.join(b, (F.col("a.stream") == F.col("b.stream")) & (F.col("a.right_t") + 1 == F.col("b.left_t")))
     return nodes, edges.select("a.stream", F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+
+
+def discounted(trellis: DataFrame, at_connection: DataFrame | None = None) -> DataFrame:
+    """Scores for the second pass: each word end loses the acoustic score at its connection frame (stream, id, am), or
+    its language score where none is given."""
+    if at_connection is None:
+        return trellis.withColumn("backscore", F.col("score") - F.col("lm"))
+    j = trellis.join(at_connection.select("stream", "id", F.col("am").alias("_am")), ["stream", "id"], "left")
+    return j.withColumn("backscore", F.col("score") - F.coalesce("_am", F.lit(0.0))).drop("_am")
+
+
+def for_processes(frames: DataFrame, processes: list[str]) -> DataFrame:
+    """Every frame for each of several processes; `stream` becomes (process, stream) as text, so that kernels run once
+    for each."""
+    p = F.explode(F.array(*map(F.lit, processes)))
+    return frames.withColumn("process", p).withColumn("stream", F.concat_ws("/", "process", F.col("stream").cast("string")))

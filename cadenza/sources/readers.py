@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 # --- audio --------------------------------------------------------------------------------------------------------
@@ -132,6 +132,12 @@ def read_npy(data: bytes) -> np.ndarray:
     return a
 
 
+def read_spectrum(data: bytes) -> np.ndarray:
+    """A noise spectrum: a big-endian count, then so many float32 magnitudes."""
+    (n,) = struct.unpack(">i", data[:4])
+    return np.frombuffer(data[4 : 4 + 4 * n], ">f4").astype(float)
+
+
 def read_cmn(text: str) -> dict[str, list[float]]:
     """Means and variances of a CEPSNORM file."""
     out, name, left = {}, None, 0
@@ -342,6 +348,9 @@ class SampleBlocks(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Blocks(self.options)
 
+    def streamReader(self, schema):
+        return _LiveBlocks(self.options)
+
 
 class _Block(InputPartition):
     def __init__(self, stream: int, first: int, last: int):
@@ -363,6 +372,32 @@ class _Blocks(DataSourceReader):
         yield from zip([stream] * len(n), n.tolist(), x.tolist())
 
 
+class _LiveBlocks(DataSourceStreamReader):
+    """The same signal as a stream: each batch brings the next block of every stream; offsets count blocks."""
+
+    def __init__(self, options: dict):
+        self.blocks = _Blocks(options)
+        self.total = -(-self.blocks.samples // self.blocks.block)
+        self.at = 0
+
+    def initialOffset(self) -> dict:
+        return {"block": 0}
+
+    def latestOffset(self) -> dict:
+        self.at = min(self.at + 1, self.total)
+        return {"block": self.at}
+
+    def partitions(self, start: dict, end: dict):
+        b = self.blocks
+        return [_Block(s, k * b.block, min((k + 1) * b.block, b.samples)) for s in range(b.streams) for k in range(start["block"], end["block"])]
+
+    def read(self, partition):
+        return self.blocks.read(partition)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 def open_source(spark: SparkSession, kind: str, path: str | None = None, **options) -> DataFrame:
     """One entrance to all batch sources: wav, raw, parameters, table, sample_blocks."""
     if kind in ("wav", "raw"):

@@ -94,6 +94,34 @@ class MapMean(StatefulProcessor):
         pass
 
 
+class EnergyNorm(StatefulProcessor):
+    """Clamps and scales a stream's energy with the maximum of the segment before; the first segment's maximum so far
+    stands in until there is one."""
+
+    def __init__(self, floor: float, escale: float = 1.0):
+        self.floor, self.escale = floor, escale
+
+    def init(self, handle) -> None:
+        self.tops = handle.getValueState("tops", "before double, now double")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        before, now = self.tops.get() if self.tops.exists() else (None, None)
+        out = []
+        for pdf in rows:
+            for r in pdf.sort_values("t").itertuples():
+                e = float(r.x)
+                now = e if now is None else max(now, e)
+                top = now if before is None else before
+                out.append((key[0], int(r.t), 1 - (top - min(max(e, top - self.floor), top)) * self.escale))
+                if r.end:
+                    before, now = now, None
+        self.tops.update((before, now))
+        yield pd.DataFrame(out, columns=["stream", "t", "x"])
+
+    def close(self) -> None:
+        pass
+
+
 class Endpointer(StatefulProcessor):
     """Segments of chunks (stream, chunk, active, end): closes after more than `tail` idle chunks or at the end, cuts at
     `most` chunks. Emits (stream, first_chunk, last_chunk, active)."""

@@ -51,6 +51,10 @@ def test_cmn_and_npy():
     assert R.read_npy(f.getvalue()).shape == (2, 2)
 
 
+def test_spectrum():
+    assert R.read_spectrum(struct.pack(">i2f", 2, 1.5, 2.5)).tolist() == [1.5, 2.5]
+
+
 def test_arpa_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "id int, text string")
     t = ngram.estimate(ngram.sentence_words(docs, "id", "text"), "id", 2)

@@ -67,3 +67,26 @@ def test_event_time_windows(spark):
     df = spark.sql("select 1 as stream, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,id,0) as ts, cast(id as double) as value from range(10)")
     w = live.sliding(live.with_event_time(df, "ts", "5 minutes"), "ts", "5 minutes")
     assert [r.n for r in w.orderBy("start").collect()] == [5, 5]
+
+
+def test_live_source(spark, tmp_path):
+    from cadenza.sources.readers import SampleBlocks, open_source
+
+    spark.dataSource.register(SampleBlocks)
+    df = spark.readStream.format("sample_blocks").options(samples=100, block=40).load()
+    q = df.writeStream.format("memory").queryName("live_blocks").option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        import time
+
+        until = time.time() + 60
+        while spark.table("live_blocks").count() < 200 and time.time() < until:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert rows(spark.table("live_blocks")) == rows(open_source(spark, "sample_blocks", samples=100, block=40))
+
+
+def test_energy_norm(spark, tmp_path):
+    data = spark.createDataFrame([(1, 0, 4.0, False), (1, 1, 2.0, True), (1, 2, 6.0, False), (1, 3, 1.0, False)], "stream int, t long, x double, end boolean")
+    out = run(spark, live.stateful(source(spark, data, f"{tmp_path}/in", 2), live.EnergyNorm(2.5), "stream int, t long, x double"), "energy_live", tmp_path)
+    assert [r[0] for r in rows(out.select("x", "t"), "t")] == [1.0, -1.0, 1.0, -1.5]
