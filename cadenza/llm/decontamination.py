@@ -4,7 +4,7 @@ Text is cut into words; numbers, units and names become typed placeholders, so a
 same template. Windows of WINDOW template words are hashed and hash-joined with the benchmark's windows; matches on one
 diagonal (same distance between positions) are one alignment. Its slots are checked for consistency: a value of the
 item must always stand for the same value of the document and the other way round. Alignments that cover COVERAGE of an
-item's words and are consistent are leaks: `exact` if every slot is equal, else `reparameterised`.
+item's words, or RUN words of a longer one, and are consistent are leaks: `exact` if every slot is equal, else `reparameterised`.
 
 A unit is a unit word after a number; a name is a capitalised Latin-1 word that follows a word in lower case and at most a
 comma. Items shorter than WINDOW are matched as one window of their own length; items under MIN_WORDS are ignored,
@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import bound_batches, materialize
 from cadenza.llm.vocabulary import Memo
 
-WINDOW, MIN_WORDS, LITERALS, COVERAGE = 8, 5, 4, 0.6
-#: Benchmark windows up to which a bit table of them is sent to all tasks, to drop other windows before the join.
+WINDOW, MIN_WORDS, LITERALS, COVERAGE, RUN = 8, 5, 4, 0.5, 13
+#: Benchmark windows up to which a bit table of them (2 MB) is sent to all tasks, to drop other windows before the join;
+#: with more, the join alone does the work.
 FILTERED = 4_000_000
 UNITS = frozenset("m km cm mm mile miles foot feet inch inches yard yards g kg mg lb lbs pound pounds ounce ounces ton tons l ml litre litres liter liters gallon gallons s ms second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros degree degrees".split())
 _SLOT = re.compile(
@@ -126,11 +127,11 @@ _ARROW = {"pos": pa.int64(), "size": pa.int32(), "words": pa.int64(), "hash": pa
 
 def template_windows(df: DataFrame, sizes: list[int], table: np.ndarray | None = None, whole_items: bool = False) -> DataFrame:
     """One row per window of `key`'s text that may match: key, pos, size, words (of the text), hash, slots."""
-    kind, arrow = df.schema["key"].dataType.simpleString(), None
-    packed = None if table is None else np.packbits(table)
+    kind = df.schema["key"].dataType.simpleString()
+    packed = None if table is None else df.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if packed is None else np.unpackbits(packed).astype(bool)
+        bits = None if packed is None else np.unpackbits(packed.value).view(bool)
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
@@ -150,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     table = None
     if items.count() <= FILTERED:
         table = np.zeros(1 << 24, bool)
-        hashes = np.array([r["hash"] for r in items.select("hash").distinct().limit(FILTERED).collect()], np.int64).view(np.uint64)
+        hashes = items.select("hash").distinct().limit(FILTERED).toArrow().column("hash").to_numpy().view(np.uint64)
         table[hashes >> np.uint64(64 - 24)] = True
     source = docs.select(F.struct("doc_id", F.xxhash64(F.col(text)).alias("th")).alias("key"), F.col(text).alias("text"))
     found = template_windows(source, sizes, table)
@@ -164,7 +165,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     )
     pairs, left, right = F.size("slots"), F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))), F.size(F.array_distinct(F.transform("slots", lambda s: s["d"])))
     share = F.size("covered") / F.col("bwords")
-    judged = grouped.where((share >= COVERAGE) & (pairs == left) & (pairs == right)).select(
+    judged = grouped.where(((share >= COVERAGE) | (F.size("covered") >= RUN)) & (pairs == left) & (pairs == right)).select(
         "dk", "bk", share.alias("coverage"), F.size("covered").alias("matched_words"),
         F.when(F.forall("slots", lambda s: s["b"] == s["d"]), "exact").otherwise("reparameterised").alias("kind"),
     )
