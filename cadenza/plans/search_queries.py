@@ -252,7 +252,10 @@ def order_closure(spark, d):
     return W.precedence(_lattice(spark, d)[1])
 
 
-@register()
+@register(f"""WITH RECURSIVE {LATTICE}, nl AS (SELECT *, max(right_t) OVER (PARTITION BY stream) AS last FROM ln),
+f AS (SELECT stream, id FROM nl WHERE left_t = 0 UNION SELECT le.stream, le.dst FROM f JOIN le ON le.stream = f.stream AND le.src = f.id),
+b AS (SELECT stream, id FROM nl WHERE right_t = last UNION SELECT le.stream, le.src FROM b JOIN le ON le.stream = b.stream AND le.dst = b.id)
+SELECT stream, id FROM f JOIN b USING (stream, id)""")
 def lattice_purge(spark, d):
     return W.purge_dead_ends(*_lattice(spark, d))[0].select("stream", "id")
 

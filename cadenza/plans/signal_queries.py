@@ -148,7 +148,7 @@ def mfcc(spark, d):
     return cells(S.mfcc(S.frames(streams(spark, d), 16, 8), 16_000.0, 8, 5))
 
 
-@register()
+@register("WITH m AS (SELECT user_id AS stream, avg(value) AS mean FROM events GROUP BY ALL), g AS (SELECT stream, round(0.8 + i * 0.02, 6)::DOUBLE AS alpha, -abs(mean - round(0.8 + i * 0.02, 6)::DOUBLE * 50) AS s FROM m, range(21) r(i)) SELECT stream, arg_min(alpha, (-s, alpha)) AS alpha, round(max(s), 6) + 0.0 AS score FROM g GROUP BY stream")
 def warp_search(spark, d):
     f = streams(spark, d).groupBy("stream").agg(F.avg("x").alias("mean"))
     return S.warp_grid(f, lambda alpha: -F.abs(F.col("mean") - alpha * 50)).withColumn("score", rounded("score"))
