@@ -151,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     table = None
     if items.count() <= FILTERED:
         table = np.zeros(1 << 24, bool)
-        hashes = items.select("hash").distinct().limit(FILTERED).toArrow().column("hash").to_numpy().view(np.uint64)
+        hashes = items.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64)
         table[hashes >> np.uint64(64 - 24)] = True
     source = docs.select(F.struct("doc_id", F.xxhash64(F.col(text)).alias("th")).alias("key"), F.col(text).alias("text"))
     found = template_windows(source, sizes, table)
