@@ -93,7 +93,7 @@ class Network:
 
     def train(self, raw: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 24, rate: float = 4e-3, seed: int = 5) -> Network:
         """raw: passages sorted by owner; y: the label of each owner."""
-        x, n = features(raw), len(y)
+        x, n = np.concatenate([features(raw[i : i + 1024]) for i in range(0, len(raw), 1024)]), len(y)
         rng, m, s, t = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         first = np.searchsorted(owner, np.arange(n + 1))
         epochs = max(epochs, LEAST_STEPS * 64 // n)  # few labels are seen more often
