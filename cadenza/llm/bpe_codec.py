@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import bound_batches, texts_of, without
-from cadenza.llm.vocabulary import MEMO, Memo, as_struct, byte_letters, definition, library
+from cadenza.llm.vocabulary import Memo, as_struct, byte_letters, definition, library
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Pieces, pre-tokens and pairs of tokens that a worker remembers at most; each memo then starts anew.
+PIECES, WORDS, PAIRS = 300_000, 150_000, 300_000
 #: The vocabulary's pattern, for ASCII and for Latin letters.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 _LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -39,7 +41,7 @@ class Codec:
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         raw = {t: bytes(map(byte_of.__getitem__, t)) for t in d["model"]["vocab"]}
         ids = d["model"]["vocab"]
-        self.library = library(name)
+        self.name = name
         self.bytes_of: dict[int, bytes] = {i: raw[t] for t, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
@@ -57,8 +59,8 @@ class Codec:
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
         #: packed ids of pre-tokens, and of the pieces between single blanks, where a blank before a piece belongs to it
-        self.words = Memo(lambda p: array("I", self.pretoken(p)).tobytes(), MEMO // 2)
-        self.first, self.later = Memo(self.plain, 10_000), Memo(lambda piece: self.plain(" " + piece))
+        self.words = Memo(lambda p: array("I", self.pretoken(p)).tobytes(), WORDS)
+        self.first, self.later = Memo(self.plain, 10_000), Memo(lambda piece: self.plain(" " + piece), PIECES)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merge rules leave a border between these two tokens.
@@ -101,7 +103,7 @@ class Codec:
             if before >= 0:
                 pair = last[before] << 20 | token
                 if (ok := fits.get(pair)) is None:
-                    if len(fits) >= 2 * MEMO:
+                    if len(fits) >= PAIRS:
                         fits.clear()
                     ok = fits[pair] = self.compatible(last[before], token)
                 if not ok:
@@ -124,7 +126,7 @@ class Codec:
             found = _LATIN.findall(text)
         else:  # rarer scripts: the library's own tables of letters decide
             back = {c: b for b, c in enumerate(byte_letters())}
-            found = [bytes(map(back.__getitem__, p)).decode("utf-8") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            found = [bytes(map(back.__getitem__, p)).decode("utf-8") for p, _ in library(self.name).pre_tokenizer.pre_tokenize_str(text)]
         return b"".join(map(self.words.__getitem__, found))
 
     def encode(self, text: str) -> bytes:

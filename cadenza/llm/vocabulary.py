@@ -44,7 +44,6 @@ def library(name: str):
     return out
 
 
-@lru_cache(maxsize=4)
 def definition(name: str) -> dict:
     with open(tokenizer_path(name), encoding="utf-8") as f:
         return json.load(f)
