@@ -40,7 +40,7 @@ NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 _WORD = re.compile("\\w+|[\ue000-\ue002]")
 _BLANK = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "_"}
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(WINDOW)], np.uint64)
-_code = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), 400_000)
+_code = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), 200_000)
 
 
 def template(text: str) -> tuple[np.ndarray, dict[int, str]]:
