@@ -124,7 +124,7 @@ def repair_unigrams(uni: DataFrame, begin: str = "<s>", end: str = "</s>") -> Da
 
 def class_scores(scored: DataFrame, words: DataFrame) -> DataFrame:
     """Adds the log class probability of each word (w, cprob) to its class's score."""
-    return scored.join(words.select("w", "cprob"), "w", "left").withColumn("logp", F.col("logp") + F.coalesce("cprob", F.lit(0.0)))
+    return scored.join(words.select("w", "cprob"), "w", "left").withColumn("logp", F.col("logp") + F.coalesce("cprob", F.lit(0.0))).drop("cprob")
 
 
 def scaled(logp, weight: float, penalty: float, transparent=None, transparent_penalty: float = 0.0):
