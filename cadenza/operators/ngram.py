@@ -26,6 +26,15 @@ def sentence_words(df: DataFrame, key: str, text: str, pattern: str = "[a-z]+")
     return df.select(key, F.posexplode(words).alias("pos", "w"))
 
 
+def sentence_grams(df: DataFrame, key: str, text: str, n: int, pattern: str = "[a-z]+") -> DataFrame:
+    """As grams() of sentence_words(), straight from the texts: no shuffle, as a text's words lie in one row."""
+    words = F.concat(F.array(F.lit("<s>")), F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1), F.array(F.lit("</s>")))
+    rows = df.select(key, words.alias("_w"))
+    last = F.explode(F.filter(F.sequence(F.lit(n - 1), F.greatest(F.size("_w") - 1, F.lit(n - 1))), lambda i: i < F.size("_w")))
+    at = rows.select(key, "_w", last.alias("pos"))
+    return at.select(key, "pos", *[F.get("_w", F.col("pos") - (n - i)).alias(f"w{i}") for i in range(1, n + 1)])
+
+
 def grams(words: DataFrame, key: str, n: int) -> DataFrame:
     """(key, pos of the last word, w1..wn)."""
     w = Window.partitionBy(key).orderBy("pos")
@@ -33,14 +42,16 @@ def grams(words: DataFrame, key: str, n: int) -> DataFrame:
     return words.select(key, "pos", *cols).where(" and ".join(f"w{i} is not null" for i in range(1, n + 1)))
 
 
-def estimate(words: DataFrame, key: str, order: int = 3, discount: float = DISCOUNT, min_count: int = 1) -> list[DataFrame]:
-    """Absolute discounting; bow spreads the mass left over over the words that the context has not seen."""
-    uni = words.where("w != '<s>'").groupBy(F.col("w").alias("w1")).agg(F.count("*").alias("c"))
+def estimate(words: DataFrame, key: str, order: int = 3, discount: float = DISCOUNT, min_count: int = 1, text: str | None = None) -> list[DataFrame]:
+    """Absolute discounting; bow spreads the mass left over over the words that the context has not seen. words holds
+    exploded words, or whole texts if `text` names their column."""
+    of = (lambda n: grams(words, key, n)) if text is None else (lambda n: sentence_grams(words, key, text, n))
+    uni = of(1).where("w1 != '<s>'").groupBy("w1").agg(F.count("*").alias("c"))
     sized = uni.crossJoin(F.broadcast(uni.agg(F.sum("c").alias("n"))))
     tables = [sized.select("w1", "c", F.log10(F.col("c") / F.col("n")).alias("logp"))]
     for n in range(2, order + 1):
         ctx = [f"w{i}" for i in range(1, n)]
-        c = grams(words, key, n).groupBy(*ctx, f"w{n}").agg(F.count("*").alias("c")).where(F.col("c") >= min_count)
+        c = of(n).groupBy(*ctx, f"w{n}").agg(F.count("*").alias("c")).where(F.col("c") >= min_count)
         t = c.groupBy(*ctx).agg(F.sum("c").alias("ct"), F.count("*").alias("kinds"))
         j = c.join(t, ctx)
         tables.append(j.select(*ctx, f"w{n}", "c", F.log10((F.col("c") - discount) / F.col("ct")).alias("logp")))

@@ -30,6 +30,15 @@ def _words(spark, d):
     return L.sentence_words(table(spark, d, "documents"), "doc_id", "text")
 
 
+def _model(spark, d, order):
+    return L.estimate(table(spark, d, "documents"), "doc_id", order, text="text")
+
+
+def _conversation_grams(spark, d, n):
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), "text")
+    return L.sentence_grams(c, "sid", "text", n)
+
+
 def _conversation_words(spark, d):
     """(conv, pos, w): the conversations' turns as sentences, which the model does not know."""
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), "text")
@@ -45,19 +54,19 @@ _SCORED_TRI = "s3 AS (SELECT q.*, coalesce(p3.p, coalesce(b2.b, 0) + coalesce(p2
 
 @register(f"WITH {MODEL} SELECT w1, c, round(p, 6) + 0.0 AS logp FROM p1")
 def unigram(spark, d):
-    return L.estimate(_words(spark, d), "doc_id", 1)[0].select("w1", "c", rounded("logp").alias("logp"))
+    return _model(spark, d, 1)[0].select("w1", "c", rounded("logp").alias("logp"))
 
 
 @register(f"WITH {MODEL}, {_CONV}, {_SCORED_BI} SELECT sid, pos, w1, w2, round(p, 5) + 0.0 AS logp FROM sb")
 def bigram(spark, d):
-    t = L.estimate(_words(spark, d), "doc_id", 2)
-    return L.bigram(L.grams(_conversation_words(spark, d), "sid", 2), t).select("sid", "pos", "w1", "w2", rounded("logp", 5).alias("logp"))
+    t = _model(spark, d, 2)
+    return L.bigram(_conversation_grams(spark, d, 2), t).select("sid", "pos", "w1", "w2", rounded("logp", 5).alias("logp"))
 
 
 @register(f"WITH {MODEL}, {_CONV}, {_SCORED_TRI} SELECT sid, pos, w1, w2, w3, round(p, 5) + 0.0 AS logp FROM s3")
 def trigram_backoff(spark, d):
-    t = L.estimate(_words(spark, d), "doc_id", 3)
-    return L.backoff(L.grams(_conversation_words(spark, d), "sid", 3), t, 3).select("sid", "pos", "w1", "w2", "w3", rounded("logp", 5).alias("logp"))
+    t = _model(spark, d, 3)
+    return L.backoff(_conversation_grams(spark, d, 3), t, 3).select("sid", "pos", "w1", "w2", "w3", rounded("logp", 5).alias("logp"))
 
 
 _REVERSE = TOKENS + """, q AS (SELECT w2, w1 FROM (SELECT lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS w1, w AS w2 FROM tk) WHERE w1 IS NOT NULL),
@@ -67,13 +76,14 @@ n AS (SELECT w1, w2, count(*) AS c FROM q GROUP BY ALL), t AS (SELECT w2, sum(c)
 
 @register("WITH " + _REVERSE + " SELECT r.w1, r.w2, round(r.p + u2.p - u1.p, 5) + 0.0 AS logp FROM r JOIN u u1 ON u1.w = r.w1 JOIN u u2 ON u2.w = r.w2")
 def reverse_bigram_bayes(spark, d):
-    w = _words(spark, d)
-    q = L.grams(w, "doc_id", 2).select("w1", "w2").distinct().where("w1 != '<s>' and w2 != '<s>'")
+    docs = table(spark, d, "documents")
+    pairs = L.sentence_grams(docs, "doc_id", "text", 2)
+    q = pairs.select("w1", "w2").distinct().where("w1 != '<s>' and w2 != '<s>'")
     # the reverse model: words in the opposite order, so its contexts are what follows
-    swapped = L.grams(w, "doc_id", 2).select(F.col("w2").alias("w1"), F.col("w1").alias("w2"))
+    swapped = pairs.select(F.col("w2").alias("w1"), F.col("w1").alias("w2"))
     c = swapped.groupBy("w1", "w2").agg(F.count("*").alias("c"))
     t = c.groupBy("w1").agg(F.sum("c").alias("ct"))
-    uni = L.estimate(w, "doc_id", 1)[0].withColumn("bow", F.lit(0.0))
+    uni = _model(spark, d, 1)[0].withColumn("bow", F.lit(0.0))
     two = c.join(t, "w1").select("w1", "w2", F.log10((F.col("c") - 0.5) / F.col("ct")).alias("logp"))
     return L.bigram(q, [], "reverse", [uni, two]).select("w1", "w2", rounded("logp", 5).alias("logp"))
 
@@ -89,7 +99,7 @@ kq AS (SELECT * FROM (SELECT sid, pos, lag(w, 2) OVER k AS w1, lag(w) OVER k AS
 sc AS (SELECT q.sid, q.w3, coalesce(p3.p, coalesce(b2.b, 0) + coalesce(p2.p, coalesce(CASE WHEN q.w2 <> '<s>' THEN b1.b END, 0) + coalesce(p1.p, -1000000))) AS p FROM kq q LEFT JOIN p3 USING (w1, w2, w3) LEFT JOIN b2 ON b2.w1 = q.w1 AND b2.w2 = q.w2 LEFT JOIN p2 ON p2.w1 = q.w2 AND p2.w2 = q.w3 LEFT JOIN b1 ON b1.w1 = q.w2 LEFT JOIN p1 ON p1.w1 = q.w3)
 SELECT sid, count(*) AS words, count(*) FILTER (WHERE w3 = '<unk>') AS oov, round(sum(p) FILTER (WHERE w3 <> '<unk>'), 4) + 0.0 AS logp, round(pow(10, -sum(p) FILTER (WHERE w3 <> '<unk>') / count(*) FILTER (WHERE w3 <> '<unk>')), 3) + 0.0 AS perplexity FROM sc GROUP BY sid""")
 def doc_perplexity(spark, d):
-    t = L.estimate(_words(spark, d), "doc_id", 3)
+    t = _model(spark, d, 3)
     p = L.perplexity(_conversation_words(spark, d), "sid", t, 3)
     return p.select("sid", "words", "oov", rounded("logp", 4).alias("logp"), rounded("perplexity", 3).alias("perplexity"))
 
@@ -99,14 +109,14 @@ a AS (SELECT sid, pos, p, 1 AS k FROM one UNION ALL SELECT sid, pos, p, 2 FROM s
 f AS (SELECT sid, st, sum(p) AS s FROM b GROUP BY ALL), r AS (SELECT sid, st - 1 AS st, sum(p) AS r FROM b WHERE k < 2 GROUP BY ALL)
 SELECT sid, st AS pos, round(s - coalesce(r, 0), 3) + 0.0 AS score FROM f LEFT JOIN r USING (sid, st)""")
 def forward_as_backward(spark, d):
-    t = L.estimate(_words(spark, d), "doc_id", 2)
+    t = _model(spark, d, 2)
     return L.forward_to_back(_conversation_words(spark, d), "sid", t, 2).select("sid", "pos", rounded("score", 3).alias("score"))
 
 
 @register(f"WITH {MODEL}, {_CONV}, {_SCORED_BI} SELECT sid, pos, round(CASE WHEN w2 = '</s>' THEN p * 8 - 2 - 1 ELSE p * 8 - 2 END, 4) + 0.0 AS score FROM sb")
 def scaled_scores(spark, d):
-    t = L.estimate(_words(spark, d), "doc_id", 2)
-    b = L.bigram(L.grams(_conversation_words(spark, d), "sid", 2), t)
+    t = _model(spark, d, 2)
+    b = L.bigram(_conversation_grams(spark, d, 2), t)
     return b.select("sid", "pos", rounded(L.scaled(F.col("logp"), 8.0, -2.0, F.col("w2") == "</s>", -1.0), 4).alias("score"))
 
 
@@ -134,7 +144,7 @@ def _dictionary(spark, d):
 
 @register(f"WITH {MODEL}, v AS (SELECT w1 AS w, p FROM p1 WHERE w1 <> '</s>'), n AS (SELECT array_to_string(string_split(w[1:k], ''), ' ') AS node, p FROM v, range(1, 40) r(k) WHERE k <= len(w)) SELECT node, round(max(p), 6) + 0.0 AS factor, count(*) AS words FROM n GROUP BY node")
 def factoring_max(spark, d):
-    uni = L.estimate(_words(spark, d), "doc_id", 1)[0].where("w1 != '</s>'")
+    uni = _model(spark, d, 1)[0].where("w1 != '</s>'")
     return L.factoring(_dictionary(spark, d).where("size(phones) < 40"), uni).withColumn("factor", rounded("factor"))
 
 
