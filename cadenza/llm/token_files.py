@@ -33,7 +33,7 @@ class Encoder:
 
     def __init__(self, name: str):
         self.splitter = WordSplitter(name)
-        self.words, self.chunks = Memo(self.word, MEMO // 2), Memo(self.chunk)
+        self.words, self.chunks = Memo(self.word, MEMO * 2 // 3), Memo(self.chunk)
 
     def word(self, pretoken: str) -> bytes:
         s = self.splitter
