@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 
 #: Chunks whose result a worker remembers; at the limit the memo starts anew, so its memory is bounded.
-MEMO = 900_000
+MEMO = 500_000
 END_OF_WORD = "</w>"
 #: Python counts these four as white space, the tokenizers library does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
