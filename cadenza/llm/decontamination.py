@@ -1,15 +1,20 @@
 """Benchmark decontamination by template canonicalisation.
 
 Text is cut into words; numbers, units and names become typed placeholders, so a question with other values has the
-same template. Windows of WINDOW template words are hashed and hash-joined with the benchmark's windows; matches on one
-diagonal (same distance between positions) are one alignment. Its slots are checked for consistency: a value of the
-item must always stand for the same value of the document and the other way round. Alignments that cover COVERAGE of an
-item's words, or RUN words of a longer one, and are consistent are leaks: `exact` if every slot is equal, else `reparameterised`.
-
-A unit is a unit word after a number; a name is a capitalised Latin-1 word that follows a word in lower case and at most a
-comma. Items shorter than WINDOW are matched as one window of their own length; items under MIN_WORDS are ignored,
-as are windows with fewer than LITERALS words that are not placeholders (half of a short one). Null and empty texts
-never match; null ids are kept as they are. Repeated rows give one result. Empty tables give no rows.
+same template. Windows of WINDOW words are hashed and hash-joined with the benchmark's windows in two views: typed (0)
+and the plain lower-cased words (2), which windows of few literals need. Matches on one diagonal (same distance between positions) are one alignment; so are all
+matches on neighbouring diagonals, no further apart than the item is long, as inserted or deleted words leave them.
+Its slots are checked for consistency: a value of the item must always stand for the same value of the document and the
+other way round. Where values conflict, the pair met at the most places stays (none on a tie) and windows with another
+one are dropped; RUN words must then remain, as a short item with conflicting values is another question. Alignments
+that cover COVERAGE of an item's words, or on one diagonal RUN words, are leaks: `exact` if every slot that stays is
+equal, else `reparameterised`.
+
+A unit is a unit word after a number; a name is a capitalised Latin-1 word that follows a word in lower case and at
+most a comma. Items shorter than WINDOW are
+matched as one window of their own length; items under MIN_WORDS are ignored, as are typed windows with fewer than
+LITERALS words that are not placeholders (half of a short one). Null and empty texts never match; null ids are kept as
+they are. Repeated rows give one result. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -38,13 +43,14 @@ _SLOT = re.compile(
 #: Placeholders: private-use characters, so no word contains them.
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 _WORD = re.compile("\\w+|[\ue000-\ue002]")
+TYPED, PLAIN = 0, 2
 _BLANK = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "_"}
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(WINDOW)], np.uint64)
 _code = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), 200_000)
 
 
 def template(text: str) -> tuple[np.ndarray, dict[int, str]]:
-    """A code for each word or placeholder, and the slots: position to placeholder and value."""
+    """A code for each lower-cased word, and the slots: position to placeholder and value."""
     values: list[str] = []
 
     def slot(m) -> str:
@@ -58,16 +64,26 @@ def template(text: str) -> tuple[np.ndarray, dict[int, str]]:
         values.append(NAME + m.group().lower())
         return f" {NAME} "
 
-    if NUMBER in text or UNIT in text or NAME in text:
-        text = text.translate({ord(c): " " for c in (NUMBER, UNIT, NAME)})
+    marks = (NUMBER, UNIT, NAME)
+    if any(c in text for c in marks):
+        text = text.translate({ord(c): " " for c in marks})
     ascii_only = text.isascii()
     text = _SLOT.sub(slot, text).lower()
     words = text.translate(_BLANK).split() if ascii_only and not values else _WORD.findall(text)
+    at = [i for i, w in enumerate(words) if w in marks] if values else []
+    for i, v in zip(at, values):
+        words[i] = v[1:]
     codes = np.fromiter(map(_code.__getitem__, words), np.uint64, len(words))
-    if not values:
-        return codes, {}
-    marks = (NUMBER, UNIT, NAME)
-    return codes, dict(zip([i for i, w in enumerate(words) if w in marks], values))
+    return codes, dict(zip(at, values))
+
+
+def typed(codes: np.ndarray, slots: dict[int, str]) -> np.ndarray:
+    """The codes with placeholders in the slots."""
+    if not slots:
+        return codes
+    out = codes.copy()
+    out[list(slots)] = [_code[v[0]] for v in slots.values()]
+    return out
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -81,16 +97,16 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
 
 
-def _kept(n: int, slots: dict, size: int) -> np.ndarray:
-    """Windows with enough words that are not placeholders."""
+def _filled(n: int, at, size: int) -> np.ndarray:
+    """How many of these positions each window holds."""
     filled = np.zeros(n + 1, np.int64)
-    filled[[i + 1 for i in slots]] = 1
+    filled[[i + 1 for i in at]] = 1
     filled = np.cumsum(filled)
-    return size - (filled[size:] - filled[:-size]) >= (LITERALS if size >= WINDOW else (size + 1) // 2)
+    return filled[size:] - filled[:-size]
 
 
 def _rows(key: list, texts: list[str | None], sizes: list[int], table: np.ndarray | None, whole_items: bool) -> dict[str, list]:
-    out: dict[str, list] = {"key": [], "pos": [], "size": [], "words": [], "hash": [], "slots": []}
+    out: dict[str, list] = {"key": [], "pos": [], "size": [], "words": [], "hash": [], "view": [], "slots": []}
     for k, t in zip(key, texts):
         if not t:
             continue
@@ -98,35 +114,87 @@ def _rows(key: list, texts: list[str | None], sizes: list[int], table: np.ndarra
         n = len(codes)
         if n < MIN_WORDS:
             continue
-        views = [(codes, slots, size) for size in sizes]
-        if whole_items:
-            views = [(codes, slots, min(n, WINDOW))]
-            inner, inside = template("x " + t)  # within a document its first word may look like a name
-            if inner[1] != codes[0]:
-                views.append((inner[1:], {i - 1: v for i, v in inside.items()}, min(n, WINDOW)))
-        for codes, slots, size in views:
-            h = window_hashes(codes, size)
-            if not len(h):
-                continue
-            at = np.arange(len(h)) if table is None else np.flatnonzero(table[h >> np.uint64(64 - 24)])
-            if slots and len(at):
-                at = at[_kept(n, slots, size)[at]]
-            for p in at.tolist():
-                out["key"].append(k)
-                out["pos"].append(p)
-                out["size"].append(size)
-                out["words"].append(n)
-                out["hash"].append(int(h[p].view(np.int64)))
-                out["slots"].append([{"o": i - p, "v": slots[i]} for i in range(p, p + size) if i in slots] if slots else [])
+        # view 2 adds only the windows in which it differs from view 0
+        views = [(TYPED, typed(codes, slots), slots, None)]
+        if slots:
+            views.append((PLAIN, codes, slots, slots))
+        for view, coded, inside, needed in views:
+            for size in [min(n, WINDOW)] if whole_items else sizes:
+                h = window_hashes(coded, size)
+                if not len(h):
+                    continue
+                at = np.arange(len(h)) if table is None else np.flatnonzero(table[h >> np.uint64(64 - 24)])
+                if len(at) and needed is not None:
+                    at = at[_filled(n, needed, size)[at] > 0]
+                if len(at) and inside and view != PLAIN:
+                    at = at[size - _filled(n, inside, size)[at] >= (LITERALS if size >= WINDOW else (size + 1) // 2)]
+                for p in at.tolist():
+                    out["key"].append(k)
+                    out["pos"].append(p)
+                    out["size"].append(size)
+                    out["words"].append(n)
+                    out["hash"].append(int(h[p].view(np.int64)))
+                    out["view"].append(view)
+                    out["slots"].append([{"o": i - p, "v": inside[i]} for i in range(p, p + size) if i in inside] if inside else [])
     return out
 
 
-_SCHEMA = "pos long, size int, words long, hash long, slots array<struct<o:int,v:string>>"
-_ARROW = {"pos": pa.int64(), "size": pa.int32(), "words": pa.int64(), "hash": pa.int64(), "slots": pa.list_(pa.struct([("o", pa.int32()), ("v", pa.string())]))}
+def _resolved(matches: list[dict]) -> tuple[set[int], bool, bool]:
+    """The item's words that windows without conflicting slots cover, whether slots conflicted, whether all are equal."""
+    places: dict[tuple[str, str], set] = {}
+    for m in matches:
+        for s in m["pairs"]:
+            places.setdefault((s["b"], s["d"]), set()).add((s["p"], s["p"] + m["diagonal"]))
+    best: dict[tuple[int, str], list[int]] = {}
+    for pair, met in places.items():
+        for side in (0, 1):
+            best.setdefault((side, pair[side]), []).append(len(met))
+    conflict = any(len(n) > 1 for n in best.values())
+    if conflict:
+        best = {k: sorted(n, reverse=True) for k, n in best.items()}
+        leads = lambda n, k: n == best[k][0] and (len(best[k]) == 1 or best[k][1] < n)
+        places = {p: met for p, met in places.items() if leads(len(met), (0, p[0])) and leads(len(met), (1, p[1]))}
+        matches = [m for m in matches if all((s["b"], s["d"]) in places for s in m["pairs"])]
+    covered = {i for m in matches for i in range(m["bpos"], m["bpos"] + m["size"])}
+    return covered, conflict, all(s["b"] == s["d"] for m in matches for s in m["pairs"])
+
+
+def judge(words: int, matches: list[dict]) -> dict | None:
+    """The best leak among the alignments of one item and one document, if any."""
+    lines: dict[int, list[dict]] = {}
+    for m in matches:
+        lines.setdefault(m["diagonal"], []).append(m)
+    found = [(ms, True) for ms in lines.values()]
+    united: list[list[int]] = []
+    for x in sorted(lines):
+        if united and x - united[-1][-1] <= words:
+            united[-1].append(x)
+        else:
+            united.append([x])
+    found += [([m for x in xs for m in lines[x]], False) for xs in united if len(xs) > 1]
+    best = None
+    for ms, single in found:
+        # by typed windows alone and with plain words: no view takes away what another one shows
+        tried = None
+        for views in ((TYPED,), (TYPED, PLAIN)):
+            some = [m for m in ms if m["view"] in views]
+            if not some or tried == len(some):
+                continue
+            tried = len(some)
+            covered, conflict, equal = _resolved(some)
+            n = len(covered)
+            if (n >= RUN if conflict else True) and (n >= COVERAGE * words or single and n >= RUN):
+                this = (n / words, n, equal)
+                best = this if best is None else max(best, this)
+    return best and {"coverage": best[0], "matched_words": best[1], "kind": "exact" if best[2] else "reparameterised"}
+
+
+_SCHEMA = "pos long, size int, words long, hash long, view int, slots array<struct<o:int,v:string>>"
+_ARROW = {"pos": pa.int64(), "size": pa.int32(), "words": pa.int64(), "hash": pa.int64(), "view": pa.int32(), "slots": pa.list_(pa.struct([("o", pa.int32()), ("v", pa.string())]))}
 
 
 def template_windows(df: DataFrame, sizes: list[int], table: np.ndarray | None = None, whole_items: bool = False) -> DataFrame:
-    """One row per window of `key`'s text that may match: key, pos, size, words (of the text), hash, slots."""
+    """One row per window of `key`'s text that may match: key, pos, size, words (of the text), hash, view, slots."""
     kind = df.schema["key"].dataType.simpleString()
     packed = None if table is None else df.sparkSession.sparkContext.broadcast(np.packbits(table))
 
@@ -155,20 +223,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         table[hashes >> np.uint64(64 - 24)] = True
     source = docs.select(F.struct("doc_id", F.xxhash64(F.col(text)).alias("th")).alias("key"), F.col(text).alias("text"))
     found = template_windows(source, sizes, table)
-    d = found.select(F.col("key").alias("dk"), F.col("pos").alias("dpos"), "size", "hash", F.col("slots").alias("dslots"))
-    b = items.select(F.col("key").alias("bk"), F.col("pos").alias("bpos"), "size", "hash", F.col("words").alias("bwords"), F.col("slots").alias("bslots"))
-    # words and slots of each match, one row a word, counted once however many windows and repeated rows have it
-    met = d.join(b, ["hash", "size"]).withColumn("diagonal", F.col("dpos") - F.col("bpos"))
-    grouped = met.groupBy("dk", "bk", "bwords", "diagonal").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("bpos"), F.col("bpos") + F.col("size") - 1)))).alias("covered"),
-        F.array_distinct(F.flatten(F.collect_set(F.zip_with("bslots", "dslots", lambda x, y: F.struct(x["v"].alias("b"), y["v"].alias("d")))))).alias("slots"),
-    )
-    pairs, left, right = F.size("slots"), F.size(F.array_distinct(F.transform("slots", lambda s: s["b"]))), F.size(F.array_distinct(F.transform("slots", lambda s: s["d"])))
-    share = F.size("covered") / F.col("bwords")
-    judged = grouped.where(((share >= COVERAGE) | (F.size("covered") >= RUN)) & (pairs == left) & (pairs == right)).select(
-        "dk", "bk", share.alias("coverage"), F.size("covered").alias("matched_words"),
-        F.when(F.forall("slots", lambda s: s["b"] == s["d"]), "exact").otherwise("reparameterised").alias("kind"),
-    )
+    d = found.select(F.col("key").alias("dk"), F.col("pos").alias("dpos"), "size", "hash", F.col("view").alias("dview"), F.col("slots").alias("dslots"))
+    b = items.select(F.col("key").alias("bk"), F.col("pos").alias("bpos"), "size", "hash", F.col("view").alias("bview"), F.col("words").alias("bwords"), F.col("slots").alias("bslots"))
+    pair = lambda o, x, y: F.struct((F.col("bpos") + o).alias("p"), x.alias("b"), y.alias("d"))
+    view = F.greatest("bview", "dview")
+    # plain words are equal, so whatever either side takes for a slot is
+    pairs = F.when(view == PLAIN, F.transform(F.concat("bslots", "dslots"), lambda s: pair(s["o"], s["v"], s["v"]))).otherwise(F.zip_with("bslots", "dslots", lambda x, y: pair(x["o"], x["v"], y["v"])))
+    # each match once, however many repeated rows have it
+    met = d.join(b, ["hash", "size"]).select("dk", "bk", "bwords", F.struct((F.col("dpos") - F.col("bpos")).alias("diagonal"), "bpos", "size", view.alias("view"), pairs.alias("pairs")).alias("m"))
+
+    @F.arrow_udf("struct<coverage:double,matched_words:int,kind:string>")
+    def judged_by(words: pa.Array, matches: pa.Array) -> pa.Array:
+        return pa.array([judge(w, ms) for w, ms in zip(words.to_pylist(), matches.to_pylist())], pa.struct([("coverage", pa.float64()), ("matched_words", pa.int32()), ("kind", pa.string())]))
+
+    judged = met.groupBy("dk", "bk", "bwords").agg(F.collect_set("m").alias("ms")).select("dk", "bk", judged_by.asNondeterministic()("bwords", "ms").alias("r")).where("r is not null").select("dk", "bk", "r.*")
     best = judged.groupBy("dk", "bk.item_id").agg(F.max(F.struct("coverage", "matched_words", F.when(F.col("kind") == "exact", 1).otherwise(0).alias("e"), "kind")).alias("m"))
     return best.select("dk.doc_id", F.col("dk.th").alias("text_hash"), "item_id", F.round("m.coverage", 6).alias("coverage"), F.col("m.matched_words").alias("matched_words"), F.col("m.kind").alias("kind"))
 

@@ -70,6 +70,25 @@ def test_leaks(spark, nothing):
     assert C.without_leaks(docs, bench).columns == docs.columns
 
 
+def found_in(spark, item, *texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: (r.kind, r.coverage) for r in C.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+
+
+def test_leaks_with_inserted_words_and_deviating_values(spark):
+    words = [f"w{chr(97 + i)}" for i in range(26)] + ["end"]
+    inserted = " ".join([*words[:9], "more", *words[9:18], "again", *words[18:]])
+    far = " ".join(words[:9] + ["filler"] * 60 + words[9:18] + ["filler"] * 60 + words[18:])
+    assert found_in(spark, " ".join(words), inserted, " ".join(words[:9]), far) == {0: ("exact", 1.0)}
+    letters = [a + b for a in "bcdfghjklm" for b in "aeiouy"]
+    long = " ".join(f"{x} is 5 and {x}o" for x in letters[:40])
+    once = long.replace("bi is 5", "bi is 6")
+    got = found_in(spark, long, once, long.replace(" 5 ", " 7 "))
+    assert got[0][0] == "exact" and got[0][1] > 0.9 and got[1] == ("reparameterised", 1.0)
+    numbers = "3 14 15 92 65 35 89 79 32 38 46 26"
+    assert found_in(spark, numbers, f"so {numbers} it is", numbers.replace("3", "4")) == {0: ("exact", 1.0)}
+
+
 def test_join_without_the_bit_table_finds_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
