@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Text is cut into words; numbers, units and names become typed placeholders, so a question with other values has the
-same template. Windows of WINDOW words are hashed and hash-joined with the benchmark's windows in two views: typed (0)
-and the plain lower-cased words (2), which windows of few literals need. Matches on one diagonal (same distance between positions) are one alignment; so are all
+same template. Windows of WINDOW words are hashed and hash-joined with the benchmark's windows in three views: typed
+(0), typed with every capitalised word as a name (1), and the plain lower-cased words (2), which upper-cased copies and
+windows of few literals need. Matches on one diagonal (same distance between positions) are one alignment; so are all
 matches on neighbouring diagonals, no further apart than the item is long, as inserted or deleted words leave them.
 Its slots are checked for consistency: a value of the item must always stand for the same value of the document and the
 other way round. Where values conflict, the pair met at the most places stays (none on a tie) and windows with another
@@ -10,8 +11,8 @@ one are dropped; RUN words must then remain, as a short item with conflicting va
 that cover COVERAGE of an item's words, or on one diagonal RUN words, are leaks: `exact` if every slot that stays is
 equal, else `reparameterised`.
 
-A unit is a unit word after a number; a name is a capitalised Latin-1 word that follows a word in lower case and at
-most a comma. Items shorter than WINDOW are
+White space is normalised. A unit is a unit word in any letter case after a number; a name is a capitalised Latin-1
+word that follows a word in lower case and at most a comma, and in view 1 any such word. Items shorter than WINDOW are
 matched as one window of their own length; items under MIN_WORDS are ignored, as are typed windows with fewer than
 LITERALS words that are not placeholders (half of a short one). Null and empty texts never match; null ids are kept as
 they are. Repeated rows give one result. Empty tables give no rows.
@@ -37,21 +38,24 @@ WINDOW, MIN_WORDS, LITERALS, COVERAGE, RUN = 8, 5, 4, 0.5, 13
 FILTERED = 4_000_000
 UNITS = frozenset("m km cm mm mile miles foot feet inch inches yard yards g kg mg lb lbs pound pounds ounce ounces ton tons l ml litre litres liter liters gallon gallons s ms second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros degree degrees".split())
 _SLOT = re.compile(
-    r"[0-9A-ZÀ-Þ](?:(?<=[0-9])(?:[0-9.,]*[0-9])?(?:(?P<gap>[ -]?)(?P<unit>" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b)?"
-    r"|(?<=[a-zß-ÿ] [A-ZÀ-Þ])[a-zß-ÿ]+|(?<=[a-zß-ÿ], [A-ZÀ-Þ])[a-zß-ÿ]+)"
+    r"[0-9A-ZÀ-Þ](?:(?<=[0-9])(?:[0-9.,]*[0-9])?(?:(?P<gap>[ -]?)(?P<unit>(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"))\b)?"
+    r"|(?P<name>(?<=[a-zß-ÿ] [A-ZÀ-Þ])[a-zß-ÿ]++(?!\w)|(?<=[a-zß-ÿ], [A-ZÀ-Þ])[a-zß-ÿ]++(?!\w))"
+    r"|(?<=[A-ZÀ-Þ])(?<!\w[A-ZÀ-Þ])[a-zß-ÿ]++(?!\w))"
 )
 #: Placeholders: private-use characters, so no word contains them.
-NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
-_WORD = re.compile("\\w+|[\ue000-\ue002]")
-TYPED, PLAIN = 0, 2
+NUMBER, UNIT, NAME, CAPITAL = "\ue000", "\ue001", "\ue002", "\ue003"
+_WORD = re.compile("\\w+|[\ue000-\ue003]")
+TYPED, CAPITALS, PLAIN = 0, 1, 2
 _BLANK = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "_"}
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(WINDOW)], np.uint64)
 _code = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), 200_000)
 
 
-def template(text: str) -> tuple[np.ndarray, dict[int, str]]:
-    """A code for each lower-cased word, and the slots: position to placeholder and value."""
+def template(text: str) -> tuple[np.ndarray, dict[int, str], set[int]]:
+    """A code for each lower-cased word, the slots (position to placeholder and value), and which of them are
+    capitalised words that only view 1 takes for names."""
     values: list[str] = []
+    capitals: list[int] = []
 
     def slot(m) -> str:
         unit = m["unit"]
@@ -59,22 +63,24 @@ def template(text: str) -> tuple[np.ndarray, dict[int, str]]:
             number = m.group()[: m.start("gap") - m.start()] if unit else m.group()
             values.append(NUMBER + number)
             if unit:
-                values.append(UNIT + unit)
+                values.append(UNIT + unit.lower())
             return f" {NUMBER} {UNIT} " if unit else f" {NUMBER} "
+        if not m["name"]:
+            capitals.append(len(values))
         values.append(NAME + m.group().lower())
-        return f" {NAME} "
+        return f" {NAME} " if m["name"] else f" {CAPITAL} "
 
-    marks = (NUMBER, UNIT, NAME)
+    marks = (NUMBER, UNIT, NAME, CAPITAL)
     if any(c in text for c in marks):
         text = text.translate({ord(c): " " for c in marks})
     ascii_only = text.isascii()
-    text = _SLOT.sub(slot, text).lower()
+    text = _SLOT.sub(slot, " ".join(text.split())).lower()
     words = text.translate(_BLANK).split() if ascii_only and not values else _WORD.findall(text)
     at = [i for i, w in enumerate(words) if w in marks] if values else []
     for i, v in zip(at, values):
         words[i] = v[1:]
     codes = np.fromiter(map(_code.__getitem__, words), np.uint64, len(words))
-    return codes, dict(zip(at, values))
+    return codes, dict(zip(at, values)), {at[k] for k in capitals}
 
 
 def typed(codes: np.ndarray, slots: dict[int, str]) -> np.ndarray:
@@ -110,14 +116,17 @@ def _rows(key: list, texts: list[str | None], sizes: list[int], table: np.ndarra
     for k, t in zip(key, texts):
         if not t:
             continue
-        codes, slots = template(t)
+        codes, slots, capitals = template(t)
         n = len(codes)
         if n < MIN_WORDS:
             continue
-        # view 2 adds only the windows in which it differs from view 0
-        views = [(TYPED, typed(codes, slots), slots, None)]
-        if slots:
-            views.append((PLAIN, codes, slots, slots))
+        sure = {i: v for i, v in slots.items() if i not in capitals} if capitals else slots
+        # views 1 and 2 add only the windows in which they differ from view 0
+        views = [(TYPED, typed(codes, sure), sure, None)]
+        if capitals:
+            views.append((CAPITALS, typed(codes, slots), slots, capitals))
+        if sure:
+            views.append((PLAIN, codes, sure, sure))
         for view, coded, inside, needed in views:
             for size in [min(n, WINDOW)] if whole_items else sizes:
                 h = window_hashes(coded, size)
@@ -174,9 +183,9 @@ def judge(words: int, matches: list[dict]) -> dict | None:
     found += [([m for x in xs for m in lines[x]], False) for xs in united if len(xs) > 1]
     best = None
     for ms, single in found:
-        # by typed windows alone and with plain words: no view takes away what another one shows
+        # by the sure names alone, with plain words, with all views: no view takes away what another one shows
         tried = None
-        for views in ((TYPED,), (TYPED, PLAIN)):
+        for views in ((TYPED,), (TYPED, PLAIN), (TYPED, CAPITALS, PLAIN)):
             some = [m for m in ms if m["view"] in views]
             if not some or tried == len(some):
                 continue

@@ -89,6 +89,13 @@ def test_leaks_with_inserted_words_and_deviating_values(spark):
     assert found_in(spark, numbers, f"so {numbers} it is", numbers.replace("3", "4")) == {0: ("exact", 1.0)}
 
 
+def test_leaks_in_other_letter_case_white_space_and_names(spark):
+    got = found_in(spark, ITEM, ITEM.upper(), ITEM.lower(), ITEM.replace(" ", "\n  "), ITEM.replace("kg", "KG").replace("12", "20"), ITEM.title())
+    assert [got[i] for i in (0, 1, 2, 4)] == [("exact", 1.0)] * 4 and got[3] == ("reparameterised", 1.0)
+    item = "There were many apples. Anna gives two of them to her old uncle. Anna keeps the rest until winter."
+    assert found_in(spark, item, "x. " + item.replace("Anna", "Berta")) == {0: ("reparameterised", 1.0)}
+
+
 def test_join_without_the_bit_table_finds_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
