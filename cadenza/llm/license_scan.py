@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from fractions import Fraction
 from functools import lru_cache
 
 import pyarrow as pa
@@ -114,10 +115,12 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...], coverage: float):
         self.coverage = coverage
         self.templates = [(name, words_of(t)) for name, t in templates]
+        #: words of each template that a finding matches at least; exact, as floats fall short
+        self.least = [-int(-Fraction(str(coverage)) * len(t) // 1) for _, t in self.templates]
         often = Counter(w for _, t in self.templates for w in set(t))
         self.rare: dict[str, list[int]] = {}
         for k, (_, t) in enumerate(self.templates):
-            count, left = Counter(t), int((1 - coverage) * len(t)) + 1
+            count, left = Counter(t), len(t) - self.least[k] + 1
             for w in sorted(count, key=lambda w: (-len(w), often[w], w)):
                 if left > 0:
                     self.rare.setdefault(w, []).append(k)
@@ -141,10 +144,10 @@ class Scanner:
                     continue
                 lo = max(end, p - reach)
                 window = words[lo : p + reach]
-                if sum((Counter(window) & Counter(t)).values()) < self.coverage * len(t):
+                if sum((Counter(window) & Counter(t)).values()) < self.least[k]:
                     continue
                 pairs = _compact(align(window, t), len(t) + SLACK)
-                if pairs and len(pairs) / len(t) >= self.coverage:
+                if pairs and len(pairs) >= self.least[k]:
                     end = lo + pairs[-1][0] + 1
                     found.append((name, round(len(pairs) / len(t), 6), len(pairs), lo + pairs[0][0], end))
         out: list = []

@@ -49,6 +49,16 @@ def test_rare_words_never_hide_a_finding():
             assert not s.rare.keys().isdisjoint([t[i] for i in kept]), name
 
 
+def test_own_rare_words_never_hide_a_finding():
+    s = L.scanner()
+    for k, (name, t) in enumerate(s.templates):
+        rare = {w for w, of in s.rare.items() if k in of}
+        most_without = sum(w not in rare for w in t)
+        assert most_without * 10 < 8 * len(t), name
+    for text in ("Distributed under the MIT License", "Available under the MIT License."):
+        assert [f[:3] for f in s.scan(text)] == [("MIT", 0.8, 4)]
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 ITEM = "A farmer named Tom has 12 kg of apples and Tom sells 5 kg of apples to the old miller before noon"
 
