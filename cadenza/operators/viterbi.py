@@ -141,7 +141,7 @@ class Decoder:
         trellis: list[dict] = []
         # a token is (score, begin frame, id of the word end before), per node and last word
         now = {(n, None): (float(scores[0, self.phone[n]]), 0, None) for n in self.starts}
-        before = None
+        before, ended = None, 0  # ended: where the word ends of the last frame begin in the trellis
         for t in range(len(scores)):
             if t:
                 new: dict = {}
@@ -154,10 +154,9 @@ class Decoder:
                     put((n, last), (s + self.stay, b, p))
                     for m in self.next[n]:
                         put((m, last), (s + self.move, b, p))
-                for e in trellis:
-                    if e["end"] == t - 1:
-                        for n in self.starts:
-                            put((n, e["wid"]), (e["score"], t, e["id"]))
+                for e in trellis[ended:]:
+                    for n in self.starts:
+                        put((n, e["wid"]), (e["score"], t, e["id"]))
                 now = {k: (s + float(scores[t, self.phone[k[0]]]), b, p) for k, (s, b, p) in new.items()}
             if before is not None and self.score_width >= 0:
                 now = {k: v for k, v in now.items() if v[0] >= before - self.score_width}
@@ -172,6 +171,7 @@ class Decoder:
                     lm = self.lm(last, w)
                     if lm is not None and (w not in ends or s + lm > ends[w][0]):
                         ends[w] = (s + lm, b, p, lm)
+            ended = len(trellis)
             for w, (s, b, p, lm) in sorted(ends.items()):
                 trellis.append({"id": len(trellis), "wid": w, "begin": b, "end": t, "score": s, "lm": lm, "prev": p})
         return trellis

@@ -199,20 +199,23 @@ def _decoder():
 
 @register()
 def beam_decode(spark, d):
-    f = frames(spark, d).where("t < 100000").withColumn("vec", F.transform(F.slice("vec", 1, 6), lambda x: x * 4))
+    f = frames(spark, d).withColumn("vec", F.transform(F.slice("vec", 1, 6), lambda x: x * 4))
     t = B.decode_streams(f, _decoder()).where("best")
     return t.select("stream", "id", "wid", "begin_t", "end_t", rounded("score", 5).alias("score"))
 
 
 @register()
 def nbest_search(spark, d):
-    f = frames(spark, d).withColumn("u", F.floor(F.col("t") / 12)).withColumn("stream", F.col("stream") * 100000 + F.col("u")).withColumn("t", F.col("t") % 12).withColumn("vec", F.transform(F.slice("vec", 1, 6), lambda x: x * 4))
+    f = frames(spark, d)
+    kind = f.schema["stream"].dataType.simpleString()
+    f = f.withColumn("u", F.floor(F.col("t") / 12)).withColumn("stream", F.to_json(F.struct("stream", "u"))).withColumn("t", F.col("t") % 12).withColumn("vec", F.transform(F.slice("vec", 1, 6), lambda x: x * 4))
     t = B.decode_streams(f, _decoder())
     prev = t.select("stream", F.col("id").alias("prev"), F.col("score").alias("_b"))
     t = t.join(prev, ["stream", "prev"], "left").withColumn("am", F.col("score") - F.coalesce("_b", F.lit(0.0)) - F.col("lm"))
     lm = {(a, b): -0.2 * b - (0.3 if a == b else 0.1) for a in [None, *_WORDS] for b in _WORDS}
     r = X.nbest(t, lm, 3)
-    return r.select("stream", "rank", F.array_join(F.transform("words", lambda w: w.cast("string")), " ").alias("words"), rounded("score", 5).alias("score"))
+    r = r.withColumn("_k", F.from_json("stream", f"stream {kind}, u long"))
+    return r.select("_k.stream", "_k.u", "rank", F.array_join(F.transform("words", lambda w: w.cast("string")), " ").alias("words"), rounded("score", 5).alias("score"))
 
 
 # --- lattices -----------------------------------------------------------------------------------------------------

@@ -5,9 +5,28 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import acoustic, dictionary, grammar, lattice, ngram, search, segment, viterbi
 from cadenza.streaming.live import Plugins
+from cadenza.plans import search_queries
 from tests.conftest import rows
 
 
+def frames_at(spark, *at):
+    rng = np.random.default_rng(0)
+    return spark.createDataFrame([(s, t, [float(x) for x in rng.normal(size=6)]) for s, t in at], "stream long, t long, vec array<double>")
+
+
+def test_decoding_takes_frames_beyond_the_first_100000(spark, monkeypatch):
+    f = frames_at(spark, *[(1, t) for t in range(99_985, 100_015)])
+    monkeypatch.setattr(search_queries, "frames", lambda *_: f)
+    assert search_queries.beam_decode(spark, "").agg(F.max("end_t")).first()[0] == 29
+
+
+def test_nbest_search_keeps_utterances_of_streams_apart(spark, monkeypatch):
+    f = frames_at(spark, *[(0, t) for t in range(1_200_000, 1_200_012)], *[(1, t) for t in range(12)], *[(None, t) for t in range(12)])
+    monkeypatch.setattr(search_queries, "frames", lambda *_: f)
+    got = search_queries.nbest_search(spark, "").where("rank = 1").collect()
+    assert sorted((str(r.stream), r.u) for r in got) == [("0", 100_000), ("1", 0), ("None", 0)]
+
+
 def test_model_decision_takes_substrings_of_the_reject_string(spark):
     t = spark.createDataFrame([(1, "noise", -1.0), (1, "voice", -2.0), (2, "noise", -5.0), (2, "voice", -5.0), (3, "oi", 0.0)], "stream int, model string, score double")
     got = {r.stream: (r.model, r.accepted) for r in segment.decide_model(t, "noise,laugh").collect()}
