@@ -189,7 +189,8 @@ def acceptable(hypotheses: DataFrame, head: str = "<s>", expected: dict | None =
 
 def factoring(words: DataFrame, uni: DataFrame) -> DataFrame:
     """Maximum unigram score below each node of the phone-prefix tree: words (w, phones), uni (w1, logp)."""
-    nodes = words.join(uni.select(F.col("w1").alias("w"), "logp"), "w").select("w", "logp", F.explode(F.transform(F.sequence(F.lit(1), F.size("phones")), lambda i: F.array_join(F.slice("phones", 1, i), " "))).alias("node"))
+    depths = words.join(uni.select(F.col("w1").alias("w"), "logp"), "w").select("w", "logp", "phones", F.explode(F.sequence(F.lit(1), F.size("phones"))).alias("_i"))
+    nodes = depths.select("logp", F.array_join(F.slice("phones", F.lit(1), F.col("_i")), " ").alias("node"))  # row by row: a long word's prefixes never meet in one array
     return nodes.groupBy("node").agg(F.max("logp").alias("factor"), F.count("*").alias("words"))
 
 

@@ -145,7 +145,7 @@ def _dictionary(spark, d):
 @register(f"WITH {MODEL}, v AS (SELECT w1 AS w, p FROM p1 WHERE w1 <> '</s>'), n AS (SELECT array_to_string(string_split(w[1:k], ''), ' ') AS node, p FROM v, range(1, 40) r(k) WHERE k <= len(w)) SELECT node, round(max(p), 6) + 0.0 AS factor, count(*) AS words FROM n GROUP BY node")
 def factoring_max(spark, d):
     uni = _model(spark, d, 1)[0].where("w1 != '</s>'")
-    return L.factoring(_dictionary(spark, d).where("size(phones) < 40"), uni).withColumn("factor", rounded("factor"))
+    return L.factoring(_dictionary(spark, d), uni).withColumn("factor", rounded("factor"))
 
 
 @register(f"WITH {_DICT} SELECT wid, w, array_to_string([CASE WHEN i > 1 THEN phones[i - 1] || '-' ELSE '' END || phones[i] || CASE WHEN i < len(phones) THEN '+' || phones[i + 1] ELSE '' END FOR i IN range(1, len(phones) + 1)], ' ') AS triphones FROM dw")

@@ -5,10 +5,17 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import acoustic, dictionary, grammar, lattice, ngram, search, segment, viterbi
 from cadenza.streaming.live import Plugins
-from cadenza.plans import search_queries
+from cadenza.plans import language_queries, search_queries
 from tests.conftest import rows
 
 
+def test_factoring_takes_long_words(spark, tmp_path):
+    long = "abcdefghij" * 5
+    spark.createDataFrame([(1, f"ab {long}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.node: r.words for r in language_queries.factoring_max(spark, str(tmp_path)).collect()}
+    assert got == {" ".join(long[:n]): 2 if n < 3 else 1 for n in range(1, 51)}
+
+
 def frames_at(spark, *at):
     rng = np.random.default_rng(0)
     return spark.createDataFrame([(s, t, [float(x) for x in rng.normal(size=6)]) for s, t in at], "stream long, t long, vec array<double>")
