@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import bound_batches, texts_of, without
-from cadenza.llm.vocabulary import Memo, as_struct, byte_letters, definition, library
+from cadenza.llm.vocabulary import SEPARATORS, Memo, as_struct, byte_letters, definition, library
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces, pre-tokens and pairs of tokens that a worker remembers at most; each memo then starts anew.
@@ -120,11 +120,12 @@ class Codec:
         """The packed ids of a text without special strings."""
         if text[1:].isalpha() and text[0] == " " and max(text) < "\u0250":
             return self.words[text]
-        if text.isascii():
+        uneven = SEPARATORS.search(text)
+        if text.isascii() and not uneven:
             found = _ASCII.findall(text)
-        elif max(text) < "ɐ":
+        elif max(text) < "ɐ" and not uneven:
             found = _LATIN.findall(text)
-        else:  # rarer scripts: the library's own tables of letters decide
+        else:  # rarer scripts, or separators that only Python takes for white space: the library decides
             back = {c: b for b, c in enumerate(byte_letters())}
             found = [bytes(map(back.__getitem__, p)).decode("utf-8") for p, _ in library(self.name).pre_tokenizer.pre_tokenize_str(text)]
         return b"".join(map(self.words.__getitem__, found))

@@ -48,6 +48,13 @@ def test_bpe(docs, nothing, texts):
     assert bpe_codec.round_trip(nothing).count() == 0
 
 
+def test_bpe_takes_separators_as_the_library_does():
+    c, tk = bpe_codec.codec(bpe_codec.VOCABULARY), library(bpe_codec.VOCABULARY)
+    for s in "\x1c\x1d\x1e\x1f":
+        for t in (f"end.\n\n{s}Next", f"é.\n{s}\n Next{s}", f" {s} a", s, f"a{s}{s}b <|endoftext|>{s}\n\n"):
+            assert np.frombuffer(c.encode(t), "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_encode_then_decode(spark):
     df = spark.createDataFrame([(1, "Hello  world<|endoftext|>"), (2, None)], "doc_id long, text string")
     got = {r.doc_id: r.decoded for r in bpe_codec.decode(bpe_codec.encode(df)).collect()}
