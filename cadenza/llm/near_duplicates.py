@@ -218,28 +218,41 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id within reach) of each row."""
-    rows = materialize(fingerprints(df, text), "fingerprints")
+def _rooted(df: DataFrame, text: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of `also`, fp, root (the component's smallest fingerprint) and component_id of each row."""
+    rows = materialize(fingerprints(df, text, also), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = components(links(nodes.select("fp"), nodes.count()))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id within reach) of each row."""
+    return _rooted(df, text).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates, with all its columns: that of the smallest doc_id. Rows that share an
-    id count as one document and give one row, that of the smallest text hash."""
-    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    found = near_duplicates(df).groupBy("doc_id").agg(F.max(own).alias("stays"), F.count("*").alias("n"))
-    found = materialize(found.where("not stays or n > 1"), "copies")
-    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))
+    """One row of each group of near duplicates, with all its columns: that of the smallest doc_id, and of several rows
+    with that id in the group (or all without an id) the one of the smallest text digest. Rows that share an id, or have
+    none, and are no near duplicates are different documents."""
+    digest = F.md5(F.col("text").cast("binary"))
+    keyed = df.select("doc_id", "text", digest.alias("_t"))
+    texts = _rooted(keyed, "text", ("doc_id", "_t")).groupBy("doc_id", "root", "component_id", "_t").agg(F.count("*").alias("n"))
+    texts = materialize(texts, "texts")
+    is_own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    own = texts.where(is_own)
+    first = own.groupBy("root").agg(F.min(F.struct("_t", "n")).alias("m")).select("root", F.col("m._t").alias("_least"))
+    marked = own.join(first, "root").select("doc_id", "_t", F.col("_t").eqNullSafe(F.col("_least")).alias("stays"), "n")
+    marked = marked.unionByName(texts.where(~is_own).select("doc_id", "_t", F.lit(False).alias("stays"), "n"))
+    found = materialize(marked.where("not stays or n > 1"), "copies")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.md5(F.col("d.text").cast("binary")).eqNullSafe(F.col("g._t"))
     out = df.alias("d").join(found.alias("g").hint("shuffle_hash"), same, "left_anti")
     twice = found.where("stays")
     if not twice.isEmpty():
         rows = df.alias("d").join(twice.alias("g"), same, "left_semi")
-        first = rows.groupBy("doc_id").agg(F.min_by(F.struct(*df.columns), F.struct(F.xxhash64("text"), "text")).alias("r"))
-        out = out.unionByName(first.select("r.*"))
+        # equal in id and text; of rows that differ in another column any one
+        one = rows.groupBy("doc_id", digest.alias("_t")).agg(F.first(F.struct(*df.columns)).alias("r"))
+        out = out.unionByName(one.select("r.*"))
     return out

@@ -181,6 +181,14 @@ def test_near_duplicates_by_brute_force(spark, docs, texts):
     assert N.near_duplicates(df.limit(0)).count() == 0 and N.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    rnd = random.Random(6)
+    a, b, c, d = (" ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, d), (None, d), (None, a)]
+    kept = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("5", b), ("None", c), ("None", d)])
+
+
 @pytest.mark.parametrize("bucket", [4, 4000])
 def test_links_keep_components(spark, monkeypatch, bucket):
     """Clouds of close fingerprints, also with buckets so small that they are cut into chunks."""
