@@ -102,7 +102,9 @@ def context_scores(scores: DataFrame, sets: DataFrame, how: str = "best", n: int
 def direct_scores(frames: DataFrame, states: DataFrame) -> DataFrame:
     """The frame vector is the score; a state id beyond it gives LOG_ZERO."""
     n = F.size("vec")
-    ids = sorted({r["state"] for r in states.select("state").distinct().limit(MODEL_ROWS).collect()})  # a model's states
+    ids = sorted({r["state"] for r in states.select("state").distinct().limit(MODEL_ROWS + 1).collect()})  # a model's states
+    if len(ids) > MODEL_ROWS:
+        raise ValueError(f"more than {MODEL_ROWS} states")
     j = frames.select("stream", "t", "vec", F.explode(F.array(*map(F.lit, ids))).alias("state"))
     return j.select("stream", "t", "state", F.when((F.col("state") >= 0) & (F.col("state") < n), F.get("vec", F.col("state"))).otherwise(F.lit(LOG_ZERO)).alias("score"))
 

@@ -1,6 +1,7 @@
 """Small hand-made cases for operators that no query exercises."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import acoustic, dictionary, grammar, lattice, ngram, search, segment, viterbi
@@ -9,6 +10,20 @@ from cadenza.plans import language_queries, search_queries
 from tests.conftest import rows
 
 
+def test_purge_goes_on_until_nothing_changes(spark):
+    chain = spark.createDataFrame([(1, i, i, i) for i in range(54)], "stream long, id long, left_t long, right_t long")
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(53)], "stream long, src long, dst long")
+    alone = chain.unionByName(spark.createDataFrame([(1, 98, 0, 50), (1, 99, 51, 99)], chain.schema))
+    nodes, left = lattice.purge_dead_ends(alone, edges.unionByName(spark.createDataFrame([(1, 98, 99)], edges.schema)))
+    assert rows(nodes.select("id")) == [(98,), (99,)] and rows(left.select("src", "dst")) == [(98, 99)]
+
+
+def test_direct_scores_refuse_too_many_states(spark, monkeypatch):
+    monkeypatch.setattr(acoustic, "MODEL_ROWS", 2)
+    with pytest.raises(ValueError):
+        acoustic.direct_scores(frames_at(spark, (1, 0)), spark.range(3).withColumnRenamed("id", "state"))
+
+
 def test_factoring_takes_long_words(spark, tmp_path):
     long = "abcdefghij" * 5
     spark.createDataFrame([(1, f"ab {long}")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
