@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bound_batches, discard, materialize, texts_of
+from cadenza.llm.common import bound_batches, discard, materialize, spread_join, texts_of
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints of a bucket that one task compares with each other.
@@ -175,7 +175,7 @@ def links(nodes: DataFrame, n: int) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long"))) for i, m in enumerate(masks(blocks_for(n)))])
     blocks = nodes.select("fp", F.explode(keys).alias("key"))
     shared = blocks.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = blocks.join(shared, "key").withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int"))
+    met = spread_join(blocks, shared.withColumn("chunks", F.ceil(F.col("n") / BUCKET).cast("int")), "key", n * len(masks(blocks_for(n))))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     met = met.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     grouped = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp")
@@ -189,12 +189,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def star(e: DataFrame, larger_only: bool) -> DataFrame:
+    def star(e: DataFrame, larger_only: bool, total: int) -> DataFrame:
         both = e if larger_only else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # small-star looks from each node to its smaller neighbours only
         side = both.select(F.col("b").alias("u"), F.col("a").alias("v")) if larger_only else both.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = side.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        found = side.join(least, "u")
+        least = side.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        found = spread_join(side, least, "u", total)  # a component's root has all the others as neighbours
         if larger_only:
             out = found.select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
         else:
@@ -209,7 +209,7 @@ def components(edges: DataFrame) -> DataFrame:
     while (found := state(now)) != before and found[0]:
         before = found
         old.append(now._cadenza_path)
-        now = materialize(star(star(now, False), True), "edges")
+        now = materialize(star(star(now, False, 2 * found[0]), True, found[0]), "edges")
         if len(old) > 1:
             discard(spark, old.pop(0))
     for path in old:
@@ -221,11 +221,13 @@ def components(edges: DataFrame) -> DataFrame:
 def _rooted(df: DataFrame, text: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `also`, fp, root (the component's smallest fingerprint) and component_id of each row."""
     rows = materialize(fingerprints(df, text, also), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    found = components(links(nodes.select("fp"), nodes.count()))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    size = nodes.agg(F.count("*").alias("nodes"), F.sum("n").alias("rows")).first()
+    found = components(links(nodes.select("fp"), size["nodes"]))
+    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.col("n").alias("copies"), F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    of = spread_join(rooted, least, "root", size["nodes"]).select("fp", "root", "component_id", F.col("copies").alias("n"))
+    return spread_join(rows, of, "fp", size["rows"] or 0)  # all copies of a text, and all empty texts, have one fingerprint
 
 
 def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import bpe_codec, decontamination, language_id, near_duplicates, quality
-from cadenza.llm.common import materialize, table
+from cadenza.llm.common import materialize, scratch, table
 
 #: Documents whose score is lower are rejected.
 LEAST_QUALITY, LEAST_LANGUAGE = 0.5, 0.3
@@ -27,7 +27,8 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps the document with the smallest id of each group whose fingerprints link (four bits at most); copies with
+    more changes than that stay, as for the operator itself."""
     return near_duplicates.keep_one(docs)
 
 
@@ -50,14 +51,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: No stage but a plain filter could be said in SQL; tests/llm hold the pipeline against brute force.
+#: No stage but a plain filter could be said in SQL; tests/llm compute all five in plain Python and compare the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    """The rows of the last stage. What earlier stages wrote is deleted as soon as the next one is written; the last
+    stage is computed when its rows are read, so its input stays in the shared folder."""
+    docs, path = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as made:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            path, before = made.pop(), path
+            made += [before] if before else []
+    return STAGES[-1][1](spark, docs, sf_dir)
