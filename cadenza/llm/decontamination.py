@@ -5,17 +5,24 @@ same template. Windows of WINDOW words are hashed and hash-joined with the bench
 (0), typed with every capitalised word as a name (1), and the plain lower-cased words (2), which upper-cased copies and
 windows of few literals need. Matches on one diagonal (same distance between positions) are one alignment; so are all
 matches on neighbouring diagonals, no further apart than the item is long, as inserted or deleted words leave them.
-Its slots are checked for consistency: a value of the item must always stand for the same value of the document and the
-other way round. Where values conflict, the pair met at the most places stays (none on a tie) and windows with another
-one are dropped; RUN words must then remain, as a short item with conflicting values is another question. Alignments
+Its slots are checked for consistency: a value of the item must always stand for the same value of the document, while
+two of its values may well be given the same new one. Where values conflict, the pair met at the most places stays (none
+on a tie) and windows with another one are dropped; RUN words in a row must then remain, as a short item with conflicting
+values is another question. Alignments
 that cover COVERAGE of an item's words, or on one diagonal RUN words, are leaks: `exact` if every slot that stays is
 equal, else `reparameterised`.
 
-White space is normalised. A unit is a unit word in any letter case after a number; a name is a capitalised Latin-1
-word that follows a word in lower case and at most a comma, and in view 1 any such word. Items shorter than WINDOW are
-matched as one window of their own length; items under MIN_WORDS are ignored, as are typed windows with fewer than
-LITERALS words that are not placeholders (half of a short one). Null and empty texts never match; null ids are kept as
-they are. Repeated rows give one result. Empty tables give no rows.
+White space is normalised. A number is written in digits or in English words (a run of these is one number); a unit is a
+unit word in any letter case after a number; a name is a capitalised word of any script that follows a word in lower case
+and at most a comma, and in view 1 any capitalised word. An upper-cased copy is matched by its plain words. Items under
+SHORT words are matched by windows of SHORT_WINDOW words, so that a changed word spoils less of them, and items shorter
+than that as one window; items under MIN_WORDS are ignored, as are typed windows with fewer than LITERALS words that are
+not placeholders (half of a short one). Null and empty texts never match; null ids are kept as they are. Repeated rows
+give one result. Empty tables give no rows.
+
+Windows that more than COMMON items share are boilerplate: unless an item's own would make a leak by themselves, they are
+looked at only for documents that also hold another window of the item, without which there is no leak. So boilerplate
+does not multiply documents by items. Windows that many documents hold are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -25,30 +32,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import bound_batches, materialize
+from cadenza.llm.common import bound_batches, materialize, spread_join
 from cadenza.llm.vocabulary import Memo
 
 WINDOW, MIN_WORDS, LITERALS, COVERAGE, RUN = 8, 5, 4, 0.5, 13
+SHORT, SHORT_WINDOW = 24, 5
+#: Items that share a window up to which every document with it is compared with each of them at once.
+COMMON = 64
 #: Benchmark windows up to which a bit table of them (2 MB) is sent to all tasks, to drop other windows before the join;
 #: with more, the join alone does the work.
 FILTERED = 4_000_000
-UNITS = frozenset("m km cm mm mile miles foot feet inch inches yard yards g kg mg lb lbs pound pounds ounce ounces ton tons l ml litre litres liter liters gallon gallons s ms second seconds minute minutes hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros degree degrees".split())
+#: Units by name, each with its short and long forms; and the English number words.
+_UNIT_FORMS = """m metre metres meter meters|km kilometre kilometres kilometer kilometers|cm centimetre centimetres centimeter centimeters|mm millimetre millimetres millimeter millimeters
+mile miles|foot feet|inch inches|yard yards|g gram grams|kg kilogram kilograms kilo kilos|mg milligram milligrams|lb lbs pound pounds|ounce ounces oz|ton tons tonne tonnes
+l litre litres liter liters|ml millilitre millilitres milliliter milliliters|gallon gallons|s second seconds sec|ms millisecond milliseconds|minute minutes min|h hour hours|day days|week weeks
+month months|year years|percent|dollar dollars|cent cents|euro euros|degree degrees|km/h kph mph"""
+UNITS = {w: forms.split()[0] for forms in _UNIT_FORMS.replace("\n", "|").split("|") for w in forms.split()}
+NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
+NUMBERS |= {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)} | {"hundred": 100, "thousand": 1_000, "million": 1_000_000}
 _SLOT = re.compile(
-    r"[0-9A-ZÀ-Þ](?:(?<=[0-9])(?:[0-9.,]*[0-9])?(?:(?P<gap>[ -]?)(?P<unit>(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r"))\b)?"
+    r"[0-9A-ZÀ-Þ](?:(?<=[0-9])(?:[0-9.,]*[0-9])?"
     r"|(?P<name>(?<=[a-zß-ÿ] [A-ZÀ-Þ])[a-zß-ÿ]++(?!\w)|(?<=[a-zß-ÿ], [A-ZÀ-Þ])[a-zß-ÿ]++(?!\w))"
     r"|(?<=[A-ZÀ-Þ])(?<!\w[A-ZÀ-Þ])[a-zß-ÿ]++(?!\w))"
 )
+#: The same beyond Latin-1.
+_SLOT_ANY = regex.compile(r"[0-9](?:[0-9.,]*[0-9])?|(?P<name>(?<=\p{Ll} |\p{Ll}, )\p{Lu}\p{Ll}++(?!\w))|(?<!\w)\p{Lu}\p{Ll}++(?!\w)")
 #: Placeholders: private-use characters, so no word contains them.
 NUMBER, UNIT, NAME, CAPITAL = "\ue000", "\ue001", "\ue002", "\ue003"
 _WORD = re.compile("\\w+|[\ue000-\ue003]")
 TYPED, CAPITALS, PLAIN = 0, 1, 2
 _BLANK = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "_"}
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(WINDOW)], np.uint64)
-_code = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")), 200_000)
+#: What the two lowest bits of a word's code say.
+A_NUMBER, A_UNIT = 1, 2
+_code = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) & ~3 | (A_NUMBER if w in NUMBERS else A_UNIT if w in UNITS else 0), 200_000)
+
+
+def spelled(words: list[str]) -> int:
+    """The number that a run of number words says."""
+    total, part = 0, 0
+    for w in words:
+        n = NUMBERS[w]
+        if n >= 1_000:
+            total, part = total + max(part, 1) * n, 0
+        else:
+            part = max(part, 1) * n if n == 100 else part + n
+    return total + part
 
 
 def template(text: str) -> tuple[np.ndarray, dict[int, str], set[int]]:
@@ -58,29 +92,56 @@ def template(text: str) -> tuple[np.ndarray, dict[int, str], set[int]]:
     capitals: list[int] = []
 
     def slot(m) -> str:
-        unit = m["unit"]
         if m.group()[0].isdigit():
-            number = m.group()[: m.start("gap") - m.start()] if unit else m.group()
-            values.append(NUMBER + number)
-            if unit:
-                values.append(UNIT + unit.lower())
-            return f" {NUMBER} {UNIT} " if unit else f" {NUMBER} "
+            values.append(NUMBER + m.group())
+            return f" {NUMBER} "
         if not m["name"]:
             capitals.append(len(values))
         values.append(NAME + m.group().lower())
         return f" {NAME} " if m["name"] else f" {CAPITAL} "
 
-    marks = (NUMBER, UNIT, NAME, CAPITAL)
+    marks = (NUMBER, NAME, CAPITAL)
     if any(c in text for c in marks):
         text = text.translate({ord(c): " " for c in marks})
+    text = " ".join(text.split())
     ascii_only = text.isascii()
-    text = _SLOT.sub(slot, " ".join(text.split())).lower()
+    text = (_SLOT if ascii_only or _latin(text) else _SLOT_ANY).sub(slot, text).lower()
     words = text.translate(_BLANK).split() if ascii_only and not values else _WORD.findall(text)
     at = [i for i, w in enumerate(words) if w in marks] if values else []
     for i, v in zip(at, values):
         words[i] = v[1:]
     codes = np.fromiter(map(_code.__getitem__, words), np.uint64, len(words))
-    return codes, dict(zip(at, values)), {at[k] for k in capitals}
+    slots, guessed = dict(zip(at, values)), {at[k] for k in capitals}
+    if (np.bitwise_and(codes, np.uint64(3)) == A_NUMBER).any():
+        words, codes, slots, guessed = _with_spelled(words, codes, slots, guessed)
+    for i in [i for i, v in slots.items() if v[0] == NUMBER]:
+        if i + 1 < len(words) and words[i + 1] in UNITS and (i + 1 not in slots or i + 1 in guessed):
+            slots[i + 1] = UNIT + UNITS[words[i + 1]]
+            guessed.discard(i + 1)
+    return codes, slots, guessed
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def _with_spelled(words: list[str], codes: np.ndarray, slots: dict[int, str], guessed: set[int]) -> tuple[list[str], np.ndarray, dict[int, str], set[int]]:
+    """Runs of number words become one word and a slot each; a capitalised one is no name."""
+    tagged = codes & np.uint64(3) == A_NUMBER
+    starts = np.flatnonzero(tagged & ~np.concatenate([[False], tagged[:-1]]))
+    stops = np.flatnonzero(tagged & ~np.concatenate([tagged[1:], [False]])) + 1
+    keep, found = np.ones(len(words), bool), {}
+    for a, b in zip(starts.tolist(), stops.tolist()):
+        keep[a + 1 : b] = False
+        found[a] = NUMBER + str(spelled(words[a:b]))
+    to = np.cumsum(keep) - 1
+    inside = set(np.flatnonzero(tagged).tolist())
+    moved = {int(to[i]): v for i, v in slots.items() if i not in inside} | {int(to[i]): v for i, v in found.items()}
+    return [w for w, k in zip(words, keep) if k], codes[keep], moved, {int(to[i]) for i in guessed if i not in inside}
 
 
 def typed(codes: np.ndarray, slots: dict[int, str]) -> np.ndarray:
@@ -128,7 +189,7 @@ def _rows(key: list, texts: list[str | None], sizes: list[int], table: np.ndarra
         if sure:
             views.append((PLAIN, codes, sure, sure))
         for view, coded, inside, needed in views:
-            for size in [min(n, WINDOW)] if whole_items else sizes:
+            for size in [min(n, WINDOW if n >= SHORT else SHORT_WINDOW)] if whole_items else sizes:
                 h = window_hashes(coded, size)
                 if not len(h):
                     continue
@@ -154,20 +215,31 @@ def _resolved(matches: list[dict]) -> tuple[set[int], bool, bool]:
     for m in matches:
         for s in m["pairs"]:
             places.setdefault((s["b"], s["d"]), set()).add((s["p"], s["p"] + m["diagonal"]))
-    best: dict[tuple[int, str], list[int]] = {}
+    best: dict[str, list[int]] = {}
     for pair, met in places.items():
-        for side in (0, 1):
-            best.setdefault((side, pair[side]), []).append(len(met))
+        best.setdefault(pair[0], []).append(len(met))
     conflict = any(len(n) > 1 for n in best.values())
     if conflict:
         best = {k: sorted(n, reverse=True) for k, n in best.items()}
         leads = lambda n, k: n == best[k][0] and (len(best[k]) == 1 or best[k][1] < n)
-        places = {p: met for p, met in places.items() if leads(len(met), (0, p[0])) and leads(len(met), (1, p[1]))}
+        places = {p: met for p, met in places.items() if leads(len(met), p[0])}
         matches = [m for m in matches if all((s["b"], s["d"]) in places for s in m["pairs"])]
     covered = {i for m in matches for i in range(m["bpos"], m["bpos"] + m["size"])}
     return covered, conflict, all(s["b"] == s["d"] for m in matches for s in m["pairs"])
 
 
+def _longest(places: set[int]) -> int:
+    """The most places in a row."""
+    best = 0
+    for i in places:
+        if i - 1 not in places:
+            n = 1
+            while i + n in places:
+                n += 1
+            best = max(best, n)
+    return best
+
+
 def judge(words: int, matches: list[dict]) -> dict | None:
     """The best leak among the alignments of one item and one document, if any."""
     lines: dict[int, list[dict]] = {}
@@ -192,7 +264,7 @@ def judge(words: int, matches: list[dict]) -> dict | None:
             tried = len(some)
             covered, conflict, equal = _resolved(some)
             n = len(covered)
-            if (n >= RUN if conflict else True) and (n >= COVERAGE * words or single and n >= RUN):
+            if (not conflict or _longest(covered) >= RUN) and (n >= COVERAGE * words or single and n >= RUN):
                 this = (n / words, n, equal)
                 best = this if best is None else max(best, this)
     return best and {"coverage": best[0], "matched_words": best[1], "kind": "exact" if best[2] else "reparameterised"}
@@ -218,6 +290,45 @@ def template_windows(df: DataFrame, sizes: list[int], table: np.ndarray | None =
     return df.select("key", "text").mapInArrow(cut, f"key {kind}, {_SCHEMA}")
 
 
+def _suffice(common: DataFrame) -> DataFrame:
+    """Items (bk) whose common windows alone could make a leak: they cover enough words, or a run of RUN."""
+    at = common.select("bk", "bwords", "size", "bpos").distinct()
+    w = Window.partitionBy("bk").orderBy("bpos")
+    gap = F.col("bpos") - F.lag("bpos").over(w)
+    at = at.withColumn("new", F.least(F.coalesce(gap, F.col("size")), F.col("size"))).withColumn("run", F.sum(F.when(F.coalesce(gap, F.lit(1 << 30)) > F.col("size"), 1).otherwise(0)).over(w))
+    runs = at.groupBy("bk", "bwords", "run").agg(F.sum("new").alias("n"))
+    return runs.groupBy("bk", "bwords").agg(F.sum("n").alias("n"), F.max("n").alias("longest")).where((F.col("n") >= COVERAGE * F.col("bwords")) | (F.col("longest") >= RUN)).select("bk")
+
+
+def _matches(d: DataFrame, b: DataFrame) -> DataFrame:
+    """(dk, bk, bwords, m) for the windows of documents that equal windows of items; m holds each match once, however
+    many repeated rows have it."""
+    pair = lambda o, x, y: F.struct((F.col("bpos") + o).alias("p"), x.alias("b"), y.alias("d"))
+    view = F.greatest("bview", "dview")
+    # plain words are equal, so whatever either side takes for a slot is
+    pairs = F.when(view == PLAIN, F.transform(F.concat("bslots", "dslots"), lambda s: pair(s["o"], s["v"], s["v"]))).otherwise(F.zip_with("bslots", "dslots", lambda x, y: pair(x["o"], x["v"], y["v"])))
+    match = F.struct((F.col("dpos") - F.col("bpos")).alias("diagonal"), "bpos", "size", view.alias("view"), pairs.alias("pairs")).alias("m")
+    counts = d.groupBy("hash", "size").agg(F.count("*").alias("n"))
+    total, key = d.count(), ["hash", "size"]
+
+    def joined(rows: DataFrame, windows: DataFrame) -> DataFrame:
+        return spread_join(rows, windows.join(counts, key), key, total).select("dk", "bk", "bwords", match)
+
+    common = b.groupBy(*key).agg(F.count_distinct("bk").alias("items")).where(F.col("items") > COMMON).select(*key)
+    if common.isEmpty():
+        return joined(d, b)
+    shared = b.join(common, key, "left_semi")
+    enough = _suffice(shared)
+    own = b.join(common, key, "left_anti").unionByName(shared.join(enough, "bk", "left_semi"))
+    first = materialize(joined(d, own), "matches")
+    rest = shared.join(enough, "bk", "left_anti")
+    asked = first.select("dk", "bk").distinct()
+    held = d.join(common, key, "left_semi")
+    # the document's common windows for each of the items asked about, then those that the item has
+    of = asked.join(held, "dk").join(rest, ["bk", *key]).select("dk", "bk", "bwords", match)
+    return first.unionByName(of)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, coverage, matched_words, kind for each document and benchmark item that it leaks."""
     bound_batches(docs.sparkSession)
@@ -231,15 +342,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         hashes = items.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64)
         table[hashes >> np.uint64(64 - 24)] = True
     source = docs.select(F.struct("doc_id", F.xxhash64(F.col(text)).alias("th")).alias("key"), F.col(text).alias("text"))
-    found = template_windows(source, sizes, table)
+    found = materialize(template_windows(source, sizes, table), "windows")
     d = found.select(F.col("key").alias("dk"), F.col("pos").alias("dpos"), "size", "hash", F.col("view").alias("dview"), F.col("slots").alias("dslots"))
     b = items.select(F.col("key").alias("bk"), F.col("pos").alias("bpos"), "size", "hash", F.col("view").alias("bview"), F.col("words").alias("bwords"), F.col("slots").alias("bslots"))
-    pair = lambda o, x, y: F.struct((F.col("bpos") + o).alias("p"), x.alias("b"), y.alias("d"))
-    view = F.greatest("bview", "dview")
-    # plain words are equal, so whatever either side takes for a slot is
-    pairs = F.when(view == PLAIN, F.transform(F.concat("bslots", "dslots"), lambda s: pair(s["o"], s["v"], s["v"]))).otherwise(F.zip_with("bslots", "dslots", lambda x, y: pair(x["o"], x["v"], y["v"])))
-    # each match once, however many repeated rows have it
-    met = d.join(b, ["hash", "size"]).select("dk", "bk", "bwords", F.struct((F.col("dpos") - F.col("bpos")).alias("diagonal"), "bpos", "size", view.alias("view"), pairs.alias("pairs")).alias("m"))
+    met = _matches(d, b)
 
     @F.arrow_udf("struct<coverage:double,matched_words:int,kind:string>")
     def judged_by(words: pa.Array, matches: pa.Array) -> pa.Array:
