@@ -1,11 +1,13 @@
 """Media columns: texts as lossless 8-bit grey images in archives, written and read by a Spark data source.
 
 An archive is a ZIP file of stored (not compressed again) PNG members, one a row, each 64 samples wide. Its end is the
-archive's directory: the offset of every member. Archives are closed at ARCHIVE_BYTES, so a directory stays small.
+archive's directory: the offset of every member. Archives are closed at ARCHIVE_BYTES or MEMBERS members, so a directory
+stays small.
 
 Reading plans byte ranges: the driver lists the archives of the committed manifest and their sizes only and cuts them
-into ranges of SPLIT_BYTES; a task reads its archive's directory and owns the members that begin in its range, so each
-is read once. Payloads leave in Arrow batches of bounded bytes. A member is read by its offset and checked against its
+into ranges of SPLIT_BYTES; a task owns the members that begin in its range, so each is read once. It streams its
+archive's directory from the last mark before the range (the manifest holds one every MARK_BYTES of members) and stops
+behind the range, so neither time nor memory depends on the rest of the archive. Payloads leave in Arrow batches of bounded bytes. A member is read by its offset and checked against its
 CRC; if that fails, it alone is read again, RETRIES times with a fresh handle, and then reported in `error`, while the
 others are not affected. Writing is committed by a manifest, so files of failed or repeated tasks are never read.
 
@@ -34,6 +36,7 @@ from cadenza.llm.common import bound_batches, shared_dir
 
 WIDTH, LEVEL = 64, 1
 ARCHIVE_BYTES, SPLIT_BYTES, BATCH_BYTES, RETRIES = 256 << 20, 16 << 20, 4 << 20, 3
+MEMBERS, MARK_BYTES, DIRECTORY_BYTES = 200_000, 4 << 20, 256 << 10
 SCHEMA = "doc_id long, media binary, error string"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Fixed value: the one table of dates that a ZIP entry needs, 1980-01-01.
@@ -109,15 +112,17 @@ class _Archive:
         self.entries.append((raw, crc, len(data), start))
 
     def close(self) -> dict:
-        start = self.at
+        start, marks = self.at, []
         for raw, crc, n, offset in self.entries:
+            if not marks or offset - marks[-1][0] >= MARK_BYTES:
+                marks.append((offset, self.at - start))
             extra = struct.pack("<HHQQQ", 1, 24, n, n, offset)
             self._put(struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45, 0, 0, *_DATE, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(raw), len(extra), 0, 0, 0, 0, 0xFFFFFFFF) + raw + extra)
         size, end, n = self.at - start, self.at, len(self.entries)
         self._put(struct.pack("<4sQHHIIQQQQ", b"PK\6\6", 44, 45, 45, 0, 0, n, n, size, start))
         self._put(struct.pack("<4sIQI", b"PK\6\7", 0, end, 1) + struct.pack("<4sHHHHIIH", b"PK\5\6", 0xFFFF, 0xFFFF, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
         self.out.close()
-        return {"path": self.path, "bytes": self.at, "directory": start, "directory_bytes": size, "members": n}
+        return {"path": self.path, "bytes": self.at, "directory": start, "directory_bytes": size, "members": n, "marks": marks}
 
 
 @dataclass
@@ -139,7 +144,7 @@ class Writer(DataSourceArrowWriter):
                 archive = archive or _Archive(files, f"{root}/{uuid.uuid4().hex}.zip")
                 archive.add(f"{k}/{'' if doc_id is None else doc_id}.png", to_png(payload(raw), len(raw)))
                 k += 1
-                if archive.at >= self.most:
+                if archive.at >= self.most or len(archive.entries) >= MEMBERS:
                     done.append(archive.close())
                     archive = None
         if archive:
@@ -166,15 +171,27 @@ class Range(InputPartition):
     last: int
 
 
-def directory(file, archive: dict) -> Iterator[tuple[str, int, int, int]]:
-    """(name, crc, size, offset) of each member, in order of offset."""
-    file.seek(archive["directory"])
-    raw, at = file.read(archive["directory_bytes"]), 0
-    while at < len(raw):
-        crc, n, e = struct.unpack_from("<16xI8xHH", raw, at)[0:3]
+def directory(file, archive: dict, first: int = 0, last: int | None = None) -> Iterator[tuple[str, int, int, int]]:
+    """(name, crc, size, offset) of each member that begins in the range, in order of offset; read piece by piece."""
+    marks = archive.get("marks") or [(0, 0)]
+    read = max((at for offset, at in marks if offset <= first), default=0)
+    raw, at = b"", 0
+    while True:
+        n, e = struct.unpack_from("<28xHH", raw, at) if len(raw) - at >= 46 else (0, 0)
+        if len(raw) - at < 46 + n + e:
+            more = min(DIRECTORY_BYTES, archive["directory_bytes"] - read)
+            if more <= 0:
+                return
+            file.seek(archive["directory"] + read)
+            raw, at, read = raw[at:] + file.read(more), 0, read + more
+            continue
+        (crc,) = struct.unpack_from("<I", raw, at + 16)
         name = raw[at + 46 : at + 46 + n].decode()
         size, _, offset = struct.unpack_from("<4xQQQ", raw, at + 46 + n)
-        yield name, crc, size, offset
+        if last is not None and offset >= last:
+            return
+        if offset >= first:
+            yield name, crc, size, offset
         at += 46 + n + e
 
 
@@ -224,9 +241,8 @@ class Reader(DataSourceReader):
             return handle[0]
 
         ids, media, errors, size = [], [], [], 0
-        for entry in list(directory(open_file(), archive)):
-            if not partition.first <= entry[3] < partition.last:
-                continue
+        listed = files.open_input_file(archive["path"])  # a handle of its own: members are read in between
+        for entry in directory(listed, archive, partition.first, partition.last):
             data, problem = member(open_file, archive, entry, self.retries)
             key = entry[0].split("/", 1)[1].removesuffix(".png")
             ids.append(int(key) if key else None)
@@ -236,6 +252,7 @@ class Reader(DataSourceReader):
             if size >= self.batch:
                 yield self._pack(ids, media, errors)
                 ids, media, errors, size = [], [], [], 0
+        listed.close()
         if ids:
             yield self._pack(ids, media, errors)
 
