@@ -21,27 +21,33 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 RULES_IN_PLAN = 1_000
 BUCKETS, GRAMS = 4_096, (3, 4)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The small labelled URL table: 1 is to be blocked.
-LABELLED = [
-    *[(1, u) for u in """http://casino-royal.test/slots http://www.best-casino.test/en/play https://casino-bonus.test/de/7 http://online-casino.test/
-http://win-big.test/jackpot https://www.win-cash.test/en/12 http://poker-win.test/table http://free-bets.test/en/44 https://m.free-spins.test/fr/3
-http://sports-bets.test/odds https://bets-today.test/en/810 http://cheap-pills.test/order https://www.cheap-meds.test/en/9 http://pills-online.test/buy
-https://buy-pills.test/de/21 http://viagra-shop.test/ http://adult-chat.test/en/6 https://www.adult-video.test/ http://xxx-adult.test/es/31 https://adult-x.test/en/5
-http://porn-tube.test/ https://spam-blast.test/x http://www.spam-mail.test/en/77 https://link-farm.test/en/8 http://spam-farm.test/fr/91 http://seo-farm.test/
-http://ads-server.test/click https://www.ads-network.test/en/13 https://ads-track.test/pixel http://track-click.test/en/2 https://m.click-track.test/de/4
-http://ad-track.test/imp http://popup-ads.test/ https://payday-loan.test/apply http://cheap-loan.test/en/66 http://fake-watches.test/ https://malware-kit.test/dl
-http://phish-login.test/en/1 https://warez-crack.test/ http://keygen-crack.test/en/18""".split()],
-    *[(0, u) for u in """http://library.test/en/12 https://www.museum.test/fr/8 http://news.test/de/71 https://blog.garden.test/en/3 http://university.test/courses
-https://school.test/en/55 http://cityhall.test/es/9 https://www.weather.test/ http://m.recipes.test/fr/120 https://history.test/en/7 http://science.test/physics
-https://archive.test/1999/ http://www.bookshop.test/de/44 https://cinema.test/en/6 http://theatre.test/fr/2 https://health.test/advice http://forest.test/en/81
-https://river.test/ http://mountain.test/es/17 https://www.islands.test/en/300 http://thether.test/en/5 https://thion.test/fr/18 http://www.ththan.test/de/62
-https://tionre.test/en/9?page=2 http://blog.thering.test/es/4 https://m.theron.test/en/77 http://heand.test/en/1 https://www.tionly.test/fr/6 http://ander.test/de/10
-https://enter.test/en/14 http://winter.test/en/25 https://window.test/fr/30 http://trackside.test/de/8 https://farmers.test/en/41 http://betterment.test/en/2
-https://adults-learning.test/ http://wiki.test/en/19 https://forum.test/t/8 http://docs.test/api https://music.test/en/65 http://sports.test/fr/22""".split()],
-    # the same paths under hosts of either kind: a number or a language says nothing
-    *[(y, f"http://{h}.test/{l}/{n}") for i, (y, h) in enumerate((y, h) for y, hs in ((1, "casino-win free-bets cheap-pills adult-x spam-farm ads-track".split()), (0, "thennd www.ererin blog.ouating m.hathes orstan ingblea lyouer hereand estone www.sheres m.withen blog.nation".split())) for h in hs)
-      for l, n in zip(("en", "fr", "de", "es"), (1 + 7 * i, 83 + 61 * i, 914 - 47 * i, 2210 + 731 * i))],
-]
+#: The small labelled URL table, 1 is to be blocked: kinds of hosts written by hand, none taken from the pages to be judged.
+#: Both kinds come with the same paths, as a number or a language says nothing.
+_BLOCKED = """casino-royal best-casino online-casino casino-bonus royalcasino casino-games vegas-slots lucky-slots free-slots spin-win bigwin-jackpot poker-win winpoker poker-room
+bets-today sports-bets live-betting bet-online betmaster free-spins bingo-cash lotto-prize cash-prize win-cash cheap-meds pills-online buy-pills pharma-discount viagra-shop
+cheap-viagra meds-order diet-pills adult-chat adult-video xxx-adult adult-cams hot-cams porn-tube free-porn sex-dating spam-blast spam-mail bulk-spam mail-spammer
+link-farm seo-farm content-farm click-farm farm-links ads-server ads-network popup-ads banner-ads adsclick ad-track track-click click-track pixel-track tracker-ads
+payday-loan cheap-loan fast-loans fake-watches replica-bags cheap-replica malware-kit phish-login login-verify warez-crack keygen-crack free-keygen crack-serial""".split()
+_ALLOWED = """wikipedia library museum news garden university school cityhall weather recipes history science archive bookshop cinema theatre health forest river mountain islands bbc
+guardian python github mozilla nature lemonde spiegel elpais openstreetmap gutenberg nasa europa unesco hospital chemistry physics mathworks linux debian apache kernel
+wiki forum docs blog music sports travel cooking planet orchestra academy institute parliament ministry gazette herald tribune observer chronicle journal review
+trackside farmers betterment adults-learning winter window enter center winchester pillow casing spinning slotted lotteries-museum banner pixelart clicks-and-mortar
+open-data town-hall local-news city-library book-club high-school art-gallery bird-watch night-sky""".split()
+#: Invented words of ordinary endings, which hold nothing that either kind is known by.
+_PLAIN = [a + b for a in "ar bel cor dun el fen gar hol is jor kel lan mor nor ol pren quil rin sol tar ul ven wes yar".split() for b in ("ton", "dale", "ing", "and", "est", "ion")]
+_TOPS, _PATHS = ("example.com", "example.net", "example.org", "test"), ("/en/{}", "/fr/{}", "/de/{}", "/es/{}", "/", "/{}", "/index.html", "/a/{}?page=2")
+
+
+def labelled_urls() -> list[tuple[int, str]]:
+    out = []
+    for y, hosts in ((1, _BLOCKED), (0, _ALLOWED + _PLAIN)):
+        for i, h in enumerate(hosts):
+            front = ("", "www.", "m.", "blog.")[i % 4]
+            out += [(y, f"http://{front}{h}.{_TOPS[(i + j) % 4]}{_PATHS[(i + 3 * j) % 8].format(1 + (i * 97 + j * 613) % 9000)}") for j in range(3)]
+    return out
+
+
+LABELLED = labelled_urls()
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -130,12 +136,12 @@ def _ruled(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
 
 
 def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES, labelled: list[tuple[int, str]] = LABELLED) -> DataFrame:
-    """page_id, host, path, rule and verdict of each row, and the model's score."""
+    """page_id, host, path, rule, verdict and the model's score (probability that the URL is to be blocked) of each row."""
     host, path = split_url(F.col(url))
     out = _ruled(df.select("page_id", host.alias("host"), path.alias("path")), rules)
     score = model_score(F.col("host"), F.col("path"), train(tuple(labelled)))
     verdict = F.coalesce("ruling", F.when(score >= 0.5, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(score, 6).alias("score"))
 
 
 def oracle() -> str:
@@ -152,4 +158,4 @@ g AS (SELECT *, {grams} AS grams, [{", ".join(map(str, w[:-1]))}] AS w FROM u),
 s AS (SELECT *, coalesce(list_sum(list_transform(grams, lambda g: w[(('0x' || substring(md5(g), 1, 4))::INT % {BUCKETS}) + 1])), 0)
               / sqrt(greatest(len(grams), 1)) + ({w[-1]}) AS z FROM g)
 SELECT page_id, host, path, {case(1)} AS rule,
-       coalesce({case(0)}, CASE WHEN z >= 0 THEN 'block' ELSE 'allow' END) AS verdict FROM s"""
+       coalesce({case(0)}, CASE WHEN z >= 0 THEN 'block' ELSE 'allow' END) AS verdict, round(1 / (1 + exp(-z)), 6) AS score FROM s"""
