@@ -5,7 +5,8 @@ run over each window, each filter's largest response passes a rectifier, and a s
 probabilities, weighted by their bytes, give the document's. The network is trained in numpy, with gradients through
 the largest response, on windows of labelled texts.
 
-A null text, or one without any letter, gets `und` and score 0. Ties go to the language that sorts first. An empty
+A null text, or one without any letter, gets `und` and score 0, and so does every text where no labelled text was there to
+learn from. Ties go to the language that sorts first. An empty
 table gives no rows. Clashing input columns are replaced.
 """
 
@@ -108,18 +109,22 @@ def sample(docs: DataFrame, text: str = "text", lang: str = "lang") -> list:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, raws = [], []
-            for l, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+            ids, langs, raws = [], [], []
+            for i, l, t in zip(b.column("doc_id").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 if _LETTER.search(t):
                     raw = windows([t.encode("utf-8", "replace")])[0]
                     at = np.unique(np.linspace(0, len(raw) - 1, WINDOWS).astype(int))
+                    ids.append(i)
                     langs.append(l)
                     raws.append(raw[at].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(raws, pa.binary())], names=["lang", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("doc_id").type), pa.array(langs, pa.string()), pa.array(raws, pa.binary())], names=["doc_id", "lang", "raw"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
     # at most DOCS rows of an id and a language
     picked = can.select("doc_id", F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen.select("doc_id", "lang")), ["doc_id", "lang"])
-    return sorted((r.lang, bytes(r.raw)) for r in picked.select("lang", "text").mapInArrow(cut, "lang string, raw binary").limit(2 * DOCS).collect())
+    # of several rows with one id and language the one whose windows sort first, so the sample is always the same
+    one = picked.select("doc_id", "lang", "text").mapInArrow(cut, f"doc_id {kind}, lang string, raw binary").groupBy("doc_id", "lang").agg(F.min("raw").alias("raw"))
+    return sorted((r.lang, bytes(r.raw)) for r in one.collect())
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Network:

@@ -133,10 +133,13 @@ def sample(docs: DataFrame, labels: DataFrame, text: str = "text") -> list:
             for t in texts_of(b.column("text")):
                 raw = passages([t.encode("utf-8", "replace")])[0]
                 raws.append(raw[np.unique(np.linspace(0, len(raw) - 1, PASSAGES).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("quality"), pa.array(raws, pa.binary())], names=["quality", "raw"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array(raws, pa.binary())], names=["doc_id", "quality", "raw"])
 
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
-    return sorted((r.quality, bytes(r.raw)) for r in rows.mapInArrow(cut, "quality int, raw binary").limit(4 * DOCS_A_CLASS).collect())
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
+    # of several rows with one id the one whose passages sort first, so the sample is bounded and always the same
+    one = rows.mapInArrow(cut, f"doc_id {kind}, quality int, raw binary").groupBy("doc_id", "quality").agg(F.min("raw").alias("raw"))
+    return sorted((r.quality, bytes(r.raw)) for r in one.collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Network:
