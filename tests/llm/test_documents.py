@@ -59,6 +59,52 @@ def test_own_rare_words_never_hide_a_finding():
         assert [f[:3] for f in s.scan(text)] == [("MIT", 0.8, 4)]
 
 
+def test_verbatim_notices_in_any_surroundings():
+    """Each notice amid words drawn from all notices: whole coverage, its own name, its own place."""
+    s, rnd = L.scanner(), random.Random(10)
+    pool = [w for _, t in s.templates for w in t]
+    for k, (name, t) in enumerate(s.templates):
+        for _ in range(60):
+            before, after = ([rnd.choice(pool) for _ in range(40)] for _ in range(2))
+            found = s.scan(" ".join([*before, *t, *after]))
+            over = [f for f in found if f[3] < 40 + len(t) and f[4] > 40]
+            # another notice that holds this one, or as many words by chance, may stand in its place
+            assert any(f[2] >= len(t) for f in over), (name, found)
+            if len(t) > 12:
+                assert any(f[0] == name and f[1] == 1.0 and f[4] - f[3] == len(t) for f in over), (name, found)
+
+
+def test_notices_with_inserted_words():
+    s, rnd = L.scanner(), random.Random(11)
+    for k, (name, t) in enumerate(s.templates):
+        for _ in range(10):
+            w = list(t)
+            for _ in range(min(12, s.slack[k])):
+                w.insert(rnd.randrange(1, len(w)), "".join(rnd.choice("qxzvk") for _ in range(7)))
+            found = s.scan(" ".join(["filler"] * 30 + w + ["filler"] * 30))
+            assert [(f[0], f[1]) for f in found] == [(name, 1.0)], (name, found)
+
+
+def test_scan_against_brute_force_over_all_windows():
+    """Never more matched words than a longest common subsequence with any window allows; and where one window holds all
+    words of a notice in a row, a finding covers it."""
+    s, rnd = L.scanner(), random.Random(12)
+    length = lambda a, b: len(L._common(a, b, 0, 0))
+    pool = [w for _, t in s.templates if len(t) < 20 for w in t] + ["x", "y"]
+    short = [k for k, (_, t) in enumerate(s.templates) if len(t) < 20]
+    for _ in range(25):
+        words = [rnd.choice(pool) for _ in range(30)]
+        at = rnd.randrange(30)
+        k = rnd.choice(short)
+        words[at:at] = s.templates[k][1]
+        found = s.scan(" ".join(words))
+        assert any(f[3] < at + len(s.templates[k][1]) and f[4] > at for f in found)
+        for name, coverage, matched, first, last in found:
+            best = max(length(words[first:last], t) for n, t in s.templates if n == name and abs(matched / len(t) - coverage) < 1e-6)
+            assert matched <= best
+    assert L._shortest("a b x a b c".split(), "a b c".split(), 0, 0) == [(3, 0), (4, 1), (5, 2)]
+
+
 # --- decontamination ----------------------------------------------------------------------------------------------
 ITEM = "A farmer named Tom has 12 kg of apples and Tom sells 5 kg of apples to the old miller before noon"
 
@@ -76,7 +122,7 @@ def test_leaks(spark, nothing):
     assert got[9, 3] == got[10, 3] == ("exact", 1.0)
     assert C.leaks(nothing.select("doc_id", "text"), bench).count() == 0 and C.leaks(docs, bench.limit(0)).count() == 0
     kept = sorted(str(r.doc_id) for r in C.without_leaks(docs, bench).collect())
-    assert kept == sorted(map(str, (2, 3, 4, 5, 6, 7))) or kept == sorted(map(str, (2, 3, 5, 6, 7)))
+    assert got[4, 1] == ("exact", 1.0) and kept == sorted(map(str, (2, 3, 5, 6, 7)))
     assert C.without_leaks(docs, bench).columns == docs.columns
 
 
@@ -106,6 +152,76 @@ def test_leaks_in_other_letter_case_white_space_and_names(spark):
     assert found_in(spark, item, "x. " + item.replace("Anna", "Berta")) == {0: ("reparameterised", 1.0)}
 
 
+def test_values_are_a_function_of_the_items(spark):
+    item = "The boy had 12 red marbles in his bag and later won 15 blue marbles from his older sister at school"
+    got = found_in(spark, item, item.replace("12", "20").replace("15", "20"), item.replace("12", "twenty").replace("15", "forty two"), item.replace("12", "twelve"))
+    assert got[0] == got[1] == ("reparameterised", 1.0) and got[2] == ("exact", 1.0)
+    weights = "Each box weighs 5 kg when full and the van can carry 300 kg so how many boxes fit in it"
+    assert found_in(spark, weights, weights.replace("kg", "kilograms"), weights.replace("5 kg", "five pounds").replace("300 kg", "900 pounds")) == {0: ("exact", 1.0), 1: ("reparameterised", 1.0)}
+    greek = "Όταν ο Γιώργος αγόρασε 5 μήλα, ο Νίκος είχε ήδη πουλήσει 12 αχλάδια στην παλιά αγορά του χωριού"
+    assert found_in(spark, greek, greek.replace("Γιώργος", "Κώστας").replace("12", "30")) == {0: ("reparameterised", 1.0)}
+
+
+def test_spelled_numbers():
+    assert [C.spelled(t.split()) for t in ("twelve", "twenty five", "three hundred five", "two thousand", "one million two hundred thousand seven")] == [12, 25, 305, 2000, 1_200_007]
+    codes, slots, guessed = C.template("Twenty-five kilograms of Rice cost about 300 DOLLARS in Rome")
+    assert len(codes) == 10 and slots == {0: C.NUMBER + "25", 1: C.UNIT + "kg", 3: C.NAME + "rice", 6: C.NUMBER + "300", 7: C.UNIT + "dollar", 9: C.NAME + "rome"} and not guessed
+
+
+STORIES = [
+    "{a} buys {x} {u} of flour and gives {y} {u} of it to {b}. How much flour does {a} have left at the end of the day?",
+    "A train leaves the station of {a} at {x} km per hour while another one leaves {b} at {y} km per hour. When do the two trains meet on the way?",
+    "In the garden of {a} there are {x} rows with {y} trees in each row, and {b} plants one more row. How many trees grow there now?",
+    "{a} reads {x} pages every day and {b} reads {y} pages every day of the same long book. Who finishes the book first and how many days earlier?",
+    "The shop of {a} sold {x} {u} of sugar on Monday and {y} {u} on Friday, but {b} returned half of it. How much sugar was sold in the end?",
+]
+
+
+def test_recall_and_precision_on_generated_questions(spark):
+    """Consistently re-parameterised items with up to two inserted words are found; items with other stories are not."""
+    rnd = random.Random(8)
+    names, units, spelled = "Anna Berta Carl Dora Emil Frida Georg Hanna".split(), ["kg", "pounds", "grams", "ounces"], {7: "seven", 12: "twelve", 25: "twenty five"}
+
+    def fill(story):
+        a, b = rnd.sample(names, 2)
+        return story.format(a=a, b=b, x=rnd.randint(30, 99), y=rnd.choice([7, 12, 25]), u=rnd.choice(units))
+
+    items = [(i, fill(s)) for i, s in enumerate(STORIES)]
+    rows, want = [], set()
+    filler = "the old harbour lay quiet under low clouds while boats came home with little fish and tired crews went up the hill to sleep".split()
+    for k in range(200):
+        i = k % len(STORIES)
+        text = fill(STORIES[i])
+        if k % 2:
+            text = " ".join(spelled.get(int(w), w) if w.isdigit() else w for w in text.split())
+        w = text.split()
+        for _ in range(k % 3):  # inserted words
+            w.insert(rnd.randrange(1, len(w)), rnd.choice(("really", "often", "also")))
+        rows.append((k, " ".join(rnd.sample(filler, 15)) + ". " + " ".join(w) + " " + " ".join(rnd.sample(filler, 15))))
+        want.add((k, i))
+    rows += [(1000 + k, " ".join(rnd.choice(filler) for _ in range(40)) + f" {rnd.choice(names)} has {rnd.randint(1, 99)} {rnd.choice(units)} of flour left at the end of the day") for k in range(100)]
+    got = {(r.doc_id, r.item_id) for r in C.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    print("recall", len(got & want) / len(want), "precision", len(got & want) / max(1, len(got)))
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+
+
+def test_common_windows_give_the_same_leaks(spark, monkeypatch):
+    """Items with shared boilerplate, as few and as many as make all windows common."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rule = " ".join(word() for _ in range(14))
+    short_rule = " ".join(word() for _ in range(9))
+    items = [(i, f"{rule} " + " ".join(word() for _ in range(20))) for i in range(6)] + [(10 + i, f"{short_rule} " + " ".join(word() for _ in range(30))) for i in range(6)]
+    docs = [(0, rule), (1, short_rule), (2, items[0][1]), (3, items[7][1]), (4, items[1][1] + " " + short_rule), (5, " ".join(items[8][1].split()[9:])), (6, " ".join(items[9][1].split()[:26]))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: sorted((r.doc_id, r.item_id, r.coverage, r.matched_words) for r in C.leaks(d, b).collect())
+    want = found()
+    assert {(0, i) for i in range(6)} | {(3, 11), (5, 12), (6, 13)} <= {w[:2] for w in want} and not [w for w in want if w[0] == 1]
+    for common in (0, 1, 3):
+        monkeypatch.setattr(C, "COMMON", common)
+        assert found() == want
+
+
 def test_join_without_the_bit_table_finds_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
@@ -189,6 +305,44 @@ def test_keep_one_decides_by_row(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("5", b), ("None", c), ("None", d)])
 
 
+def test_spread_join_is_a_join(spark, monkeypatch):
+    """Keys far above, at and below a piece; rows that repeat."""
+    from cadenza.llm import common
+
+    monkeypatch.setattr(common, "PIECE", 3)
+    monkeypatch.setattr(common, "PIECES", 4)
+    rows = spark.createDataFrame([("hot", i) for i in range(50)] + [("hot", 7)] * 5 + [("warm", i) for i in range(4)] + [("cold", 1), ("none", 2)], "k string, v long")
+    n = rows.groupBy("k").agg(F.count("*").alias("n"))
+    table = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("warm", "c"), ("cold", "d"), ("other", "e")], "k string, w string")
+    want = sorted(tuple(r) for r in rows.join(table, "k").collect())
+    for total in (0, 20, 61, 10_000):
+        got = common.spread_join(rows, table.join(n, "k"), "k", total)
+        assert got.columns == ["k", "v", "w"] and sorted(tuple(r) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("pieces", [(2, 4), None])
+def test_near_duplicates_with_hot_keys(spark, monkeypatch, pieces):
+    """A third of all rows empty, another third exact copies, and a cloud of close texts."""
+    if pieces:
+        from cadenza.llm import common
+
+        monkeypatch.setattr(common, "PIECE", pieces[0])
+        monkeypatch.setattr(common, "PIECES", pieces[1])
+    rnd = random.Random(13)
+    base = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    rows = [(i, "") for i in range(60)] + [(100 + i, " ".join(base[:50])) for i in range(60)]
+    for i in range(40):
+        w = list(base)
+        w[rnd.randrange(300)] = "x"
+        rows.append((200 + i, " ".join(w)))
+    comp = brute_components([brute_fingerprint(t) for _, t in rows])
+    least = {}
+    for (i, _), c in zip(rows, comp):
+        least[c] = min(least.get(c, i), i)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: least[c] for (i, _), c in zip(rows, comp)} and len(set(got.values())) < 40
+
+
 @pytest.mark.parametrize("bucket", [4, 4000])
 def test_links_keep_components(spark, monkeypatch, bucket):
     """Clouds of close fingerprints, also with buckets so small that they are cut into chunks."""

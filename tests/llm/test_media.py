@@ -93,3 +93,21 @@ def test_png_is_checked():
     import numpy as np
 
     assert io.BytesIO(png).read(8) == b"\x89PNG\r\n\x1a\n" and np.frombuffer(png, np.uint8).size == len(png)
+
+
+def test_directory_is_read_from_the_mark_on(tmp_path, monkeypatch):
+    """Ranges anywhere give the members that begin in them, with directories read in pieces of a few entries."""
+    monkeypatch.setattr(M, "MARK_BYTES", 700)
+    monkeypatch.setattr(M, "DIRECTORY_BYTES", 200)
+    files, _ = M.filesystem(str(tmp_path))
+    archive = M._Archive(files, f"{tmp_path}/x.zip")
+    for i in range(60):
+        archive.add(f"{i}/{i}.png", M.to_png(M.payload(b"x" * (i * 37 % 500))))
+    meta = archive.close()
+    file = files.open_input_file(meta["path"])
+    every = list(M.directory(file, meta))
+    assert len(every) == 60 and len(meta["marks"]) > 5
+    for first in range(0, meta["directory"], 411):
+        last = first + 1500
+        assert list(M.directory(file, meta, first, last)) == [e for e in every if first <= e[3] < last]
+    assert list(M.directory(file, meta | {"marks": []}, 3000, 9000)) == [e for e in every if 3000 <= e[3] < 9000]
