@@ -7,14 +7,14 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
-from sys import getsizeof
 
 import pyarrow as pa
 import regex
 
-#: Chunks whose result a worker remembers, bytes that they may take on average, and the longest chunk that is remembered
-#: at all; at the limit the memo starts anew, so its memory is bounded whatever the script and the spacing of the texts.
-MEMO, MEMO_BYTES, LONGEST = 500_000, 256, 128
+#: Chunks whose result a worker remembers, characters that they may have on average, and the longest chunk that is
+#: remembered at all; at the limit the memo starts anew, so its memory is bounded whatever the script and spacing of texts
+#: (a result takes at most 16 bytes a character).
+MEMO, MEMO_CHARS, LONGEST = 500_000, 16, 128
 END_OF_WORD = "</w>"
 #: Python counts these four as white space, the tokenizers library does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -148,19 +148,19 @@ class WordSplitter:
 
 
 class Memo(dict):
-    """What a function gave for each key; at `most` keys, or `most` times MEMO_BYTES bytes, it starts anew. Keys longer
-    than LONGEST are computed each time: texts without blanks hardly repeat."""
+    """What a function gave for each key; at `most` keys, or `most` times MEMO_CHARS characters of keys, it starts anew.
+    Keys longer than LONGEST are computed each time: texts without blanks hardly repeat."""
 
     def __init__(self, make, most: int = MEMO):
         self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key):
         out = self.make(key)
-        if len(key) <= LONGEST:
-            self.held += getsizeof(key) + getsizeof(out) + 100  # and the entry itself
-            if len(self) >= self.most or self.held > self.most * MEMO_BYTES:
+        if (n := len(key)) <= LONGEST:
+            self.held += n
+            if len(self) >= self.most or self.held > self.most * MEMO_CHARS:
                 self.clear()
-                self.held = getsizeof(key) + getsizeof(out) + 100
+                self.held = n
             self[key] = out
         return out
 
