@@ -29,48 +29,173 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import bound_batches, materialize, spread_join
-from cadenza.llm.vocabulary import Memo
 
 WINDOW, MIN_WORDS, LITERALS, COVERAGE, RUN = 8, 5, 4, 0.5, 13
 SHORT, SHORT_WINDOW = 24, 5
 #: Items that share a window up to which every document with it is compared with each of them at once.
 COMMON = 64
-#: Benchmark windows up to which a bit table of them (2 MB) is sent to all tasks, to drop other windows before the join;
+#: Benchmark windows up to which two bit tables of them (4 MB) are sent to all tasks, to drop other windows before the join;
 #: with more, the join alone does the work.
 FILTERED = 4_000_000
 #: Units by name, each with its short and long forms; and the English number words.
 _UNIT_FORMS = """m metre metres meter meters|km kilometre kilometres kilometer kilometers|cm centimetre centimetres centimeter centimeters|mm millimetre millimetres millimeter millimeters
 mile miles|foot feet|inch inches|yard yards|g gram grams|kg kilogram kilograms kilo kilos|mg milligram milligrams|lb lbs pound pounds|ounce ounces oz|ton tons tonne tonnes
 l litre litres liter liters|ml millilitre millilitres milliliter milliliters|gallon gallons|s second seconds sec|ms millisecond milliseconds|minute minutes min|h hour hours|day days|week weeks
-month months|year years|percent|dollar dollars|cent cents|euro euros|degree degrees|km/h kph mph"""
+month months|year years|percent|dollar dollars|cent cents|euro euros|degree degrees|kph mph"""
 UNITS = {w: forms.split()[0] for forms in _UNIT_FORMS.replace("\n", "|").split("|") for w in forms.split()}
 NUMBERS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 NUMBERS |= {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)} | {"hundred": 100, "thousand": 1_000, "million": 1_000_000}
-_SLOT = re.compile(
-    r"[0-9A-ZÀ-Þ](?:(?<=[0-9])(?:[0-9.,]*[0-9])?"
-    r"|(?P<name>(?<=[a-zß-ÿ] [A-ZÀ-Þ])[a-zß-ÿ]++(?!\w)|(?<=[a-zß-ÿ], [A-ZÀ-Þ])[a-zß-ÿ]++(?!\w))"
-    r"|(?<=[A-ZÀ-Þ])(?<!\w[A-ZÀ-Þ])[a-zß-ÿ]++(?!\w))"
-)
-#: The same beyond Latin-1.
-_SLOT_ANY = regex.compile(r"[0-9](?:[0-9.,]*[0-9])?|(?P<name>(?<=\p{Ll} |\p{Ll}, )\p{Lu}\p{Ll}++(?!\w))|(?<!\w)\p{Lu}\p{Ll}++(?!\w)")
-#: Placeholders: private-use characters, so no word contains them.
-NUMBER, UNIT, NAME, CAPITAL = "\ue000", "\ue001", "\ue002", "\ue003"
-_WORD = re.compile("\\w+|[\ue000-\ue003]")
+#: Placeholders before a slot's value: private-use characters.
+NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 TYPED, CAPITALS, PLAIN = 0, 1, 2
-_BLANK = {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) != "_"}
+#: Kinds of words: digits, number words, units, sure names, and capitalised words that only view 1 takes for names.
+DIGITS, SPELLED, A_UNIT, A_NAME, A_CAPITAL = 1, 2, 3, 4, 5
+#: Characters that are cut into words at once.
+BLOCK = 1 << 20
 _MIX = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(WINDOW)], np.uint64)
-#: What the two lowest bits of a word's code say.
-A_NUMBER, A_UNIT = 1, 2
-_code = Memo(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) & ~3 | (A_NUMBER if w in NUMBERS else A_UNIT if w in UNITS else 0), 200_000)
+_PLACES = np.random.default_rng(7).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LAST = 0x20000  # from here on there are ideographs, which have no case
+
+
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """The lower case of each character below _LAST, and what it is: 1 word, 2 digit, 4 white space, 8 upper and 16 lower
+    case."""
+    lower, kind = np.arange(_LAST + 1, dtype=np.uint32), np.zeros(_LAST + 1, np.uint8)
+    for i in range(_LAST):
+        c = chr(i)
+        if len(low := c.lower()) == 1:
+            lower[i] = ord(low)
+        kind[i] = (c.isalnum() or c == "_") + 4 * c.isspace() + 8 * (c.isalpha() and c.isupper()) + 16 * (c.isalpha() and c.islower())
+    kind[48:58] |= 2
+    kind[_LAST] = 1
+    return lower, kind
+
+
+class Words:
+    """The words of some texts as arrays: code (a hash of the lower-cased word), kind, first and past the last character
+    (of all texts together), owner (which text). Numbers are words of their own even inside others, with points and commas
+    between digits; runs of number words are one word."""
+
+    def __init__(self, texts: list[str]):
+        text, found, at, before = "\n".join(texts), [], 0, 0
+        while at < len(text):
+            stop = len(text)
+            if stop - at > BLOCK and (m := _CUT.search(text, at + BLOCK)):
+                stop = m.end()  # behind a word and before white space, so that no word or number is cut
+            part, before = self._block(text[at:stop], at, before)
+            found.append(part)
+            at = stop
+        self.code, self.kind, self.first, self.last, gap = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4)))
+        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.owner = np.searchsorted(starts, self.first, "right") - 1
+        same = np.concatenate([[False], self.owner[1:] == self.owner[:-1]])[: len(self.owner)]
+        self.kind[~same & (self.kind == A_NAME)] = A_CAPITAL
+        tagged = self.kind == SPELLED
+        if tagged.any():
+            again = tagged & np.concatenate([[False], tagged[:-1]]) & (gap == 1) & same
+            kept = np.flatnonzero(~again)
+            self.last = self.last[np.concatenate([kept[1:], [len(gap)]]) - 1]
+            self.code, self.kind, self.first, self.owner, same = self.code[kept], self.kind[kept], self.first[kept], self.owner[kept], same[kept]
+        after = np.flatnonzero((self.kind == DIGITS) | (self.kind == SPELLED)) + 1
+        after = after[after < len(self.kind)]
+        after = after[same[after] & ((self.kind[after] == 0) | (self.kind[after] == A_CAPITAL))]
+        units = _vocabulary()[1]
+        self.kind[after[np.fromiter((c in units for c in self.code[after].tolist()), bool, len(after))]] = A_UNIT
+        self.text = text
+
+    @staticmethod
+    def _block(text: str, offset: int, before: int) -> tuple[tuple, int]:
+        """The words of a part, and the kind of its last character; before is that of the character ahead of it."""
+        lower, kinds = _characters()
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(raw, _LAST)
+        kind = kinds[at]
+        low = np.where(raw < _LAST, lower[at], raw)
+        word, digit = (kind & 1).astype(bool), (kind & 2).astype(bool)
+        cut = np.ones(len(raw) + 1, bool)
+        cut[1:-1] = word[1:] != word[:-1]
+        if digit.any():
+            point = np.flatnonzero((raw == 44) | (raw == 46))
+            point = point[(point > 0) & (point < len(raw) - 1)]
+            point = point[digit[point - 1] & digit[point + 1]]
+            word[point] = digit[point] = True  # points inside numbers
+            cut[1:-1] = (word[1:] != word[:-1]) | (digit[1:] != digit[:-1])
+        edge = np.flatnonzero(cut)
+        first, last = edge[:-1], edge[1:]
+        real = word[first] if len(raw) else np.empty(0, bool)
+        first, last = first[real], last[real]
+        if not len(first):
+            return (np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(4))), int(kind[-1]) if len(kind) else before
+        size = last - first
+        off = np.cumsum(size) - size
+        place = np.arange(off[-1] + size[-1]) - np.repeat(off, size)
+        h = np.add.reduceat((low[word].astype(np.uint64) + np.uint64(1)) * _PLACES[place & 4095], off) + size.astype(np.uint64) * _MIX[0]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        out = np.zeros(len(h), np.int64)
+        # names: a capital, then lower case up to the word's end; sure behind a word in lower case and at most a comma
+        head = np.flatnonzero((kind[first] & 8 > 0) & (size > 1))
+        if len(head):
+            small = np.concatenate([[0], np.cumsum(kind & 16 > 0)])
+            name = head[(small[last[head]] - small[first[head] + 1] == size[head] - 1)]
+            begins = (first[name] == 0) | ~word[np.maximum(first[name] - 1, 0)]
+            ends = (last[name] == len(raw)) | ~word[np.minimum(last[name], len(raw) - 1)]
+            name = name[begins & ends]
+            white = np.concatenate([[0], np.cumsum(kind & 4 > 0)])
+            end = np.where(name > 0, last[np.maximum(name - 1, 0)], 0)
+            gap = first[name] - end
+            spaces = white[first[name]] - white[end]
+            comma = (gap - spaces == 1) & (raw[np.minimum(end, len(raw) - 1)] == 44)
+            ahead = np.where(name > 0, kind[np.maximum(end - 1, 0)], before if before & 1 else 0)
+            out[name] = np.where((spaces > 0) & ((gap == spaces) | comma) & (ahead & 16 > 0), A_NAME, A_CAPITAL)
+        out[digit[first]] = DIGITS
+        some, _, numbers = _vocabulary()
+        maybe = np.flatnonzero(some[h >> np.uint64(48)])
+        out[maybe[np.fromiter((c in numbers for c in h[maybe].tolist()), bool, len(maybe))]] = SPELLED
+        return (h, out, first + offset, last + offset, np.concatenate([[1 << 30], first[1:] - last[:-1]])), int(kind[-1])
+
+    def value(self, i: int) -> str:
+        """A slot's placeholder and value."""
+        k, w = int(self.kind[i]), self.text[self.first[i] : self.last[i]].lower()
+        if k == SPELLED:
+            return NUMBER + str(spelled(_LETTERS.findall(w)))
+        return NUMBER + w if k == DIGITS else UNIT + UNITS[w] if k == A_UNIT else NAME + w
+
+
+_CUT = re.compile(r"(?<=\w)(?=\s)")
+_LETTERS = re.compile("[a-z]+")
+
+
+@lru_cache(maxsize=1)
+def _vocabulary() -> tuple[np.ndarray, frozenset, frozenset]:
+    """The codes of units and of number words, and a table of the first bits of the latter."""
+    code = lambda w: int(_word_code(w))
+    numbers = frozenset(map(code, NUMBERS))
+    some = np.zeros(1 << 16, bool)
+    some[[c >> 48 for c in numbers]] = True
+    return some, frozenset(code(u) for u in UNITS if u.isalpha()), numbers
+
+
+def _word_code(w: str) -> np.uint64:
+    h = np.array([ord(c) + 1 for c in w], np.uint64) * _PLACES[: len(w)]
+    h = np.add.reduce(h, keepdims=True) + np.uint64(len(w)) * _MIX[:1]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ h >> np.uint64(32))[0]
+
+
+#: What stands for a number, a unit and a name in typed windows.
+_STAND_IN = np.array([0, 11, 11, 22, 33, 33], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def spelled(words: list[str]) -> int:
@@ -88,124 +213,96 @@ def spelled(words: list[str]) -> int:
 def template(text: str) -> tuple[np.ndarray, dict[int, str], set[int]]:
     """A code for each lower-cased word, the slots (position to placeholder and value), and which of them are
     capitalised words that only view 1 takes for names."""
-    values: list[str] = []
-    capitals: list[int] = []
-
-    def slot(m) -> str:
-        if m.group()[0].isdigit():
-            values.append(NUMBER + m.group())
-            return f" {NUMBER} "
-        if not m["name"]:
-            capitals.append(len(values))
-        values.append(NAME + m.group().lower())
-        return f" {NAME} " if m["name"] else f" {CAPITAL} "
-
-    marks = (NUMBER, NAME, CAPITAL)
-    if any(c in text for c in marks):
-        text = text.translate({ord(c): " " for c in marks})
-    text = " ".join(text.split())
-    ascii_only = text.isascii()
-    text = (_SLOT if ascii_only or _latin(text) else _SLOT_ANY).sub(slot, text).lower()
-    words = text.translate(_BLANK).split() if ascii_only and not values else _WORD.findall(text)
-    at = [i for i, w in enumerate(words) if w in marks] if values else []
-    for i, v in zip(at, values):
-        words[i] = v[1:]
-    codes = np.fromiter(map(_code.__getitem__, words), np.uint64, len(words))
-    slots, guessed = dict(zip(at, values)), {at[k] for k in capitals}
-    if (np.bitwise_and(codes, np.uint64(3)) == A_NUMBER).any():
-        words, codes, slots, guessed = _with_spelled(words, codes, slots, guessed)
-    for i in [i for i, v in slots.items() if v[0] == NUMBER]:
-        if i + 1 < len(words) and words[i + 1] in UNITS and (i + 1 not in slots or i + 1 in guessed):
-            slots[i + 1] = UNIT + UNITS[words[i + 1]]
-            guessed.discard(i + 1)
-    return codes, slots, guessed
-
-
-def _latin(text: str) -> bool:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
-def _with_spelled(words: list[str], codes: np.ndarray, slots: dict[int, str], guessed: set[int]) -> tuple[list[str], np.ndarray, dict[int, str], set[int]]:
-    """Runs of number words become one word and a slot each; a capitalised one is no name."""
-    tagged = codes & np.uint64(3) == A_NUMBER
-    starts = np.flatnonzero(tagged & ~np.concatenate([[False], tagged[:-1]]))
-    stops = np.flatnonzero(tagged & ~np.concatenate([tagged[1:], [False]])) + 1
-    keep, found = np.ones(len(words), bool), {}
-    for a, b in zip(starts.tolist(), stops.tolist()):
-        keep[a + 1 : b] = False
-        found[a] = NUMBER + str(spelled(words[a:b]))
-    to = np.cumsum(keep) - 1
-    inside = set(np.flatnonzero(tagged).tolist())
-    moved = {int(to[i]): v for i, v in slots.items() if i not in inside} | {int(to[i]): v for i, v in found.items()}
-    return [w for w, k in zip(words, keep) if k], codes[keep], moved, {int(to[i]) for i in guessed if i not in inside}
-
-
-def typed(codes: np.ndarray, slots: dict[int, str]) -> np.ndarray:
-    """The codes with placeholders in the slots."""
-    if not slots:
-        return codes
-    out = codes.copy()
-    out[list(slots)] = [_code[v[0]] for v in slots.values()]
-    return out
+    w = Words([text])
+    return w.code, {int(i): w.value(i) for i in np.flatnonzero(w.kind)}, set(np.flatnonzero(w.kind == A_CAPITAL).tolist())
 
 
-def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(codes: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
+    """A hash for each window of so many words, or for those that begin at the given places."""
     n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+    h = np.zeros(n if at is None else len(at), np.uint64)
     for j in range(size):
-        h += codes[j : j + n] * _MIX[j]
+        h += (codes[j : j + n] if at is None else codes[at + j]) * _MIX[j]
     h ^= h >> np.uint64(29)
     return h * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(size)
 
 
-def _filled(n: int, at, size: int) -> np.ndarray:
-    """How many of these positions each window holds."""
-    filled = np.zeros(n + 1, np.int64)
-    filled[[i + 1 for i in at]] = 1
-    filled = np.cumsum(filled)
+def bit_tables(hashes: np.ndarray) -> np.ndarray:
+    """Two tables of 2^24 bits, by different bits of the hashes: a window that is in neither is none of these."""
+    out = np.zeros((2, 1 << 24), bool)
+    out[0, hashes >> np.uint64(40)] = True
+    out[1, hashes >> np.uint64(16) & np.uint64(0xFFFFFF)] = True
+    return out
+
+
+def _known(tables: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    """The places whose hash the tables may hold."""
+    if tables is None:
+        return np.arange(len(h))
+    at = np.flatnonzero(tables[0][h >> np.uint64(40)])
+    return at[tables[1][h[at] >> np.uint64(16) & np.uint64(0xFFFFFF)]]
+
+
+def _inside(marked: np.ndarray, size: int) -> np.ndarray:
+    """How many of the marked words each window holds."""
+    filled = np.concatenate([[0], np.cumsum(marked)])
     return filled[size:] - filled[:-size]
 
 
-def _rows(key: list, texts: list[str | None], sizes: list[int], table: np.ndarray | None, whole_items: bool) -> dict[str, list]:
+def _windows(w: Words, size: int, tables: np.ndarray | None):
+    """(view, place, hash) of the windows of so many words that may match, within one text. Views 1 and 2 add only those
+    in which they differ from view 0."""
+    n, owner = len(w.code) - size + 1, w.owner
+    if n <= 0:
+        return
+    whole = owner[:n] == owner[size - 1 :]
+    least = LITERALS if size >= WINDOW else (size + 1) // 2
+    sure = (w.kind > 0) & (w.kind != A_CAPITAL)
+    slots, any_sure = _inside(sure, size), sure.any()
+    codes = np.where(sure, _STAND_IN[w.kind], w.code) if any_sure else w.code
+    h = window_hashes(codes, size)
+    at = _known(tables, h)
+    at = at[whole[at] & (size - slots[at] >= least)]
+    yield TYPED, at, h[at]
+    capitals = w.kind == A_CAPITAL
+    if capitals.any():
+        more = _inside(capitals, size)
+        at = np.flatnonzero((more > 0) & whole & (size - slots - more >= least))
+        h = window_hashes(np.where(capitals, _STAND_IN[A_CAPITAL], codes), size, at)
+        known = _known(tables, h)
+        yield CAPITALS, at[known], h[known]
+    if any_sure:
+        at = np.flatnonzero((slots > 0) & whole)
+        h = window_hashes(w.code, size, at)
+        known = _known(tables, h)
+        yield PLAIN, at[known], h[known]
+
+
+def _rows(key: list, texts: list[str | None], sizes: list[int], tables: np.ndarray | None, whole_items: bool) -> dict[str, list]:
+    """The windows of some texts that may match; of items all windows of the size that their length asks for."""
     out: dict[str, list] = {"key": [], "pos": [], "size": [], "words": [], "hash": [], "view": [], "slots": []}
-    for k, t in zip(key, texts):
-        if not t:
-            continue
-        codes, slots, capitals = template(t)
-        n = len(codes)
-        if n < MIN_WORDS:
-            continue
-        sure = {i: v for i, v in slots.items() if i not in capitals} if capitals else slots
-        # views 1 and 2 add only the windows in which they differ from view 0
-        views = [(TYPED, typed(codes, sure), sure, None)]
-        if capitals:
-            views.append((CAPITALS, typed(codes, slots), slots, capitals))
-        if sure:
-            views.append((PLAIN, codes, sure, sure))
-        for view, coded, inside, needed in views:
-            for size in [min(n, WINDOW if n >= SHORT else SHORT_WINDOW)] if whole_items else sizes:
-                h = window_hashes(coded, size)
-                if not len(h):
+    have = [i for i, t in enumerate(texts) if t]
+    w = Words([texts[i] for i in have])
+    begin = np.searchsorted(w.owner, np.arange(len(have) + 1))
+    n = np.diff(begin)
+    own_size = np.minimum(n, np.where(n >= SHORT, WINDOW, SHORT_WINDOW)) if whole_items else None
+    for size in sorted(set(own_size[n >= MIN_WORDS].tolist())) if whole_items else sizes:
+        for view, at, hashes in _windows(w, size, tables):
+            for p, h in zip(at.tolist(), hashes.view(np.int64).tolist()):
+                i = int(w.owner[p])
+                if n[i] < MIN_WORDS or whole_items and own_size[i] != size:
                     continue
-                at = np.arange(len(h)) if table is None else np.flatnonzero(table[h >> np.uint64(64 - 24)])
-                if len(at) and needed is not None:
-                    at = at[_filled(n, needed, size)[at] > 0]
-                if len(at) and inside and view != PLAIN:
-                    at = at[size - _filled(n, inside, size)[at] >= (LITERALS if size >= WINDOW else (size + 1) // 2)]
-                for p in at.tolist():
-                    out["key"].append(k)
-                    out["pos"].append(p)
-                    out["size"].append(size)
-                    out["words"].append(n)
-                    out["hash"].append(int(h[p].view(np.int64)))
-                    out["view"].append(view)
-                    out["slots"].append([{"o": i - p, "v": inside[i]} for i in range(p, p + size) if i in inside] if inside else [])
+                kinds = w.kind[p : p + size]
+                slots = np.flatnonzero(kinds if view == CAPITALS else (kinds > 0) & (kinds != A_CAPITAL)).tolist()
+                out["key"].append(key[have[i]])
+                out["pos"].append(p - int(begin[i]))
+                out["size"].append(size)
+                out["words"].append(int(n[i]))
+                out["hash"].append(h)
+                out["view"].append(view)
+                out["slots"].append([{"o": o, "v": w.value(p + o)} for o in slots])
     return out
 
 
@@ -274,13 +371,13 @@ _SCHEMA = "pos long, size int, words long, hash long, view int, slots array<stru
 _ARROW = {"pos": pa.int64(), "size": pa.int32(), "words": pa.int64(), "hash": pa.int64(), "view": pa.int32(), "slots": pa.list_(pa.struct([("o", pa.int32()), ("v", pa.string())]))}
 
 
-def template_windows(df: DataFrame, sizes: list[int], table: np.ndarray | None = None, whole_items: bool = False) -> DataFrame:
+def template_windows(df: DataFrame, sizes: list[int], tables: np.ndarray | None = None, whole_items: bool = False) -> DataFrame:
     """One row per window of `key`'s text that may match: key, pos, size, words (of the text), hash, view, slots."""
     kind = df.schema["key"].dataType.simpleString()
-    packed = None if table is None else df.sparkSession.sparkContext.broadcast(np.packbits(table))
+    packed = None if tables is None else df.sparkSession.sparkContext.broadcast(np.packbits(tables, axis=1))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if packed is None else np.unpackbits(packed.value).view(bool)
+        bits = None if packed is None else np.unpackbits(packed.value, axis=1).view(bool)
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
@@ -336,13 +433,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     items = template_windows(items.select(F.struct("key.item_id", F.xxhash64("text").alias("th")).alias("key"), "text"), [], whole_items=True)
     items = materialize(items.distinct(), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # between MIN_WORDS and WINDOW
-    table = None
+    tables = None
     if items.count() <= FILTERED:
-        table = np.zeros(1 << 24, bool)
-        hashes = items.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64)
-        table[hashes >> np.uint64(64 - 24)] = True
+        tables = bit_tables(items.select("hash").distinct().toArrow().column("hash").to_numpy().view(np.uint64))
     source = docs.select(F.struct("doc_id", F.xxhash64(F.col(text)).alias("th")).alias("key"), F.col(text).alias("text"))
-    found = materialize(template_windows(source, sizes, table), "windows")
+    found = materialize(template_windows(source, sizes, tables), "windows")
     d = found.select(F.col("key").alias("dk"), F.col("pos").alias("dpos"), "size", "hash", F.col("view").alias("dview"), F.col("slots").alias("dslots"))
     b = items.select(F.col("key").alias("bk"), F.col("pos").alias("bpos"), "size", "hash", F.col("view").alias("bview"), F.col("words").alias("bwords"), F.col("slots").alias("bslots"))
     met = _matches(d, b)
