@@ -256,12 +256,22 @@ def map_cmn(df: DataFrame, prior: list[float] | None = None, weight: float = DEF
 
 def cmn_prior_of_segments(df: DataFrame, frames_needed: int = DEFAULTS["cmn_update_frames"]) -> DataFrame:
     """Per segment (stream, segment, n, total): the mean of the newest segments, this one included, back to where at
-    least frames_needed frames are held."""
-    newer = Window.partitionBy("stream", "_at").orderBy(F.desc("segment")).rowsBetween(Window.unboundedPreceding, -1)
-    pairs = df.alias("a").join(df.alias("b"), (F.col("a.stream") == F.col("b.stream")) & (F.col("b.segment") <= F.col("a.segment")))
-    rows = pairs.select("a.stream", F.col("a.segment").alias("_at"), F.col("b.segment").alias("segment"), F.col("b.n").alias("n"), F.col("b.total").alias("total"))
-    held = rows.withColumn("_before", F.coalesce(F.sum("n").over(newer), F.lit(0))).where(F.col("_before") < frames_needed)
-    return held.groupBy("stream", F.col("_at").alias("segment")).agg((F.sum("total") / F.sum("n")).alias("prior"), F.sum("n").alias("frames"))
+    least frames_needed frames are held.
+
+    With running sums a segment's reach is a range of frames: it goes back from its own last frame to the segment that
+    holds the frame frames_needed before. Segments without frames take part like others. Frames are cut into bands of
+    frames_needed, so that a segment meets only those near the one it looks for.
+    """
+    w = Window.partitionBy("stream").orderBy("segment")
+    run = df.withColumn("_n", F.sum("n").over(w)).withColumn("_s", F.sum("total").over(w))
+    run = run.withColumn("_before", F.col("_n") - F.col("n")).withColumn("_sum", F.col("_s") - F.col("total"))
+    # the earliest segment whose frames reach beyond this place belongs to the reach
+    ends = run.withColumn("_from", F.greatest(F.col("_n") - F.lit(frames_needed), F.lit(0)))
+    band = lambda c: F.floor(c / F.lit(frames_needed))
+    held = run.where("n > 0").select("stream", F.col("_before").alias("_b"), F.col("_n").alias("_e"), F.col("_sum").alias("_at"), F.explode(F.sequence(band(F.col("_before")), band(F.col("_n")))).alias("_band"))
+    j = ends.withColumn("_band", band(F.col("_from"))).join(held, ["stream", "_band"], "left").where("_band is null or _b is null or (_b <= _from and _from < _e)")
+    out = j.select("stream", "segment", (F.col("_s") - F.coalesce("_at", F.lit(0.0))).alias("_t"), (F.col("_n") - F.coalesce("_b", F.lit(0))).alias("frames"))
+    return out.select("stream", "segment", (F.col("_t") / F.col("frames")).alias("prior"), "frames")
 
 
 def splice(df: DataFrame, context: int) -> DataFrame:

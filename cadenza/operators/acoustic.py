@@ -30,10 +30,24 @@ def fit_gaussians(frames: DataFrame, by: str = "label", floor: float = 1e-6) ->
     return out.select(F.col(by).alias("id"), F.transform("d", lambda s: s["m"]).alias("mean"), F.transform("d", lambda s: 1 / s["v"]).alias("invvar"), gconst.alias("gconst"))
 
 
+#: Parts in which frames meet a model that is too large to be sent to every task.
+PARTS = 256
+
+
+def _with_model(frames: DataFrame, model: DataFrame, on) -> DataFrame:
+    """Every frame with every row of the model that applies. A larger model than MODEL_ROWS is copied to each part of the
+    frames, so that no task has all frames."""
+    if model.limit(MODEL_ROWS + 1).count() <= MODEL_ROWS:
+        return frames.join(F.broadcast(model), on)
+    dealt = frames.withColumn("_part", F.pmod(F.xxhash64("stream", "t"), F.lit(PARTS)))
+    copies = model.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).cast("long"))
+    return dealt.join(copies, (F.col("_part") == F.col("_of")) & on).drop("_part", "_of")
+
+
 def gaussian_scores(frames: DataFrame, gauss: DataFrame) -> DataFrame:
     """(stream, t, id, g): -1/2 (gconst + sum (x - mean)^2 invvar). Gaussians of another length than the frame's valid
     dimensions do not apply (multi-space)."""
-    g = frames.join(small(gauss), F.size("vec") == F.size("mean"))
+    g = _with_model(frames, gauss, F.size("vec") == F.size("mean"))
     d = F.zip_with("vec", "mean", lambda x, m: x - m)
     dist = F.aggregate(F.zip_with(d, "invvar", lambda x, v: x * x * v), F.lit(0.0), lambda a, x: a + x)
     return g.select("stream", "t", "id", (-0.5 * (F.col("gconst") + dist)).alias("g"))

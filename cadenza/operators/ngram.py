@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.arrays import LOG_ZERO
+from cadenza.functions.shared import written
 
 UNKNOWN = "<unk>"
 #: The trellis look-up range in frames, the sentence length limit of generation.
@@ -42,25 +43,46 @@ def grams(words: DataFrame, key: str, n: int) -> DataFrame:
     return words.select(key, "pos", *cols).where(" and ".join(f"w{i} is not null" for i in range(1, n + 1)))
 
 
+def _counts(words: DataFrame, key: str, order: int, text: str | None) -> list[DataFrame]:
+    """(w1..wn, c) for each order, from one pass over the texts: all orders are counted together and written once."""
+    if text is None:
+        rows = [grams(words, key, n) for n in range(1, order + 1)]
+        w = lambda df, i, n: F.col(f"w{i}") if i <= n else F.lit(None).cast("string")
+        every = None
+        for n, df in enumerate(rows, 1):
+            one = df.select(F.lit(n).alias("n"), *[w(df, i, n).alias(f"w{i}") for i in range(1, order + 1)])
+            every = one if every is None else every.unionByName(one)
+    else:
+        ws = F.concat(F.array(F.lit("<s>")), F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), 1), F.array(F.lit("</s>")))
+        at = words.select(ws.alias("_w")).select("_w", F.explode(F.sequence(F.lit(0), F.size("_w") - 1)).alias("i"))
+        ends = at.select("_w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.col("i") + 1))).alias("n"))
+        every = ends.select("n", *[F.when(F.col("n") >= k, F.get("_w", F.col("i") - F.col("n") + k)).alias(f"w{k}") for k in range(1, order + 1)])
+    names = [f"w{i}" for i in range(1, order + 1)]
+    c = written(every.where("not (n = 1 and w1 = '<s>')").groupBy("n", *names).agg(F.count("*").alias("c")), "counts")
+    return [c.where(F.col("n") == n).select(*names[:n], "c") for n in range(1, order + 1)]
+
+
 def estimate(words: DataFrame, key: str, order: int = 3, discount: float = DISCOUNT, min_count: int = 1, text: str | None = None) -> list[DataFrame]:
     """Absolute discounting; bow spreads the mass left over over the words that the context has not seen. words holds
-    exploded words, or whole texts if `text` names their column."""
-    of = (lambda n: grams(words, key, n)) if text is None else (lambda n: sentence_grams(words, key, text, n))
-    uni = of(1).where("w1 != '<s>'").groupBy("w1").agg(F.count("*").alias("c"))
-    sized = uni.crossJoin(F.broadcast(uni.agg(F.sum("c").alias("n"))))
+    exploded words, or whole texts if `text` names their column. Counts and tables are written, so each is computed once
+    however many look-ups follow."""
+    counts = _counts(words, key, order, text)
+    uni = counts[0]
+    sized = uni.crossJoin(F.broadcast(uni.agg(F.sum("c").alias("n"))))  # one row
     tables = [sized.select("w1", "c", F.log10(F.col("c") / F.col("n")).alias("logp"))]
     for n in range(2, order + 1):
         ctx = [f"w{i}" for i in range(1, n)]
-        c = of(n).groupBy(*ctx, f"w{n}").agg(F.count("*").alias("c")).where(F.col("c") >= min_count)
-        t = c.groupBy(*ctx).agg(F.sum("c").alias("ct"), F.count("*").alias("kinds"))
-        j = c.join(t, ctx)
-        tables.append(j.select(*ctx, f"w{n}", "c", F.log10((F.col("c") - discount) / F.col("ct")).alias("logp")))
-        lower = tables[n - 2]
-        names = {f"w{i + 1}": f"w{i}" for i in range(1, n)}
-        low = lower.select(*[F.col(f"w{i}").alias(f"w{i + 1}") for i in range(1, n)], F.col("logp").alias("low"))
-        seen = c.join(low, list(names), "left").groupBy(*ctx).agg(F.sum(F.pow(F.lit(10.0), "low")).alias("seen"))
-        bow = t.join(seen, ctx).select(*ctx, F.log10(F.greatest(discount * F.col("kinds") / F.col("ct"), F.lit(1e-12)) / F.greatest(1 - F.col("seen"), F.lit(1e-12))).alias("bow"))
-        tables[n - 2] = lower.join(bow, ctx, "left")
+        c = counts[n - 1].where(F.col("c") >= min_count)
+        low = tables[n - 2].select(*[F.col(f"w{i}").alias(f"w{i + 1}") for i in range(1, n)], F.col("logp").alias("low"))
+        # one row a context: its count, how many words follow it, and how likely these are without it
+        j = c.join(low, [f"w{i}" for i in range(2, n + 1)], "left")
+        t = written(j.groupBy(*ctx).agg(F.sum("c").alias("ct"), F.count("*").alias("kinds"), F.sum(F.pow(F.lit(10.0), "low")).alias("seen")), "contexts")
+        mine = c.join(t.select(*ctx, "ct"), ctx).select(*ctx, f"w{n}", "c", F.log10((F.col("c") - discount) / F.col("ct")).alias("logp"))
+        tables.append(written(mine, "grams") if n < order else mine)
+        bow = t.select(*ctx, F.log10(F.greatest(discount * F.col("kinds") / F.col("ct"), F.lit(1e-12)) / F.greatest(1 - F.col("seen"), F.lit(1e-12))).alias("bow"))
+        tables[n - 2] = written(tables[n - 2].join(bow, ctx, "left"), "model")
+    if order > 1:
+        tables[-1] = written(tables[-1], "model")
     return tables
 
 
@@ -146,9 +168,10 @@ def scaled(logp, weight: float, penalty: float, transparent=None, transparent_pe
 
 def context_words(words: DataFrame, key: str, n: int) -> DataFrame:
     """For each word the last n - 1 words before it that are not transparent, oldest first."""
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.when(~F.col("transparent"), F.col("w"))).over(w)
-    return words.withColumn("context", F.slice(F.reverse(F.slice(F.reverse(seen), 1, n - 1)), 1, n - 1) if n > 1 else F.array().cast("array<string>"))
+    solid = words.withColumn("_solid", F.when(~F.col("transparent"), F.col("w")))
+    back = [F.expr(f"lag(_solid, {k}) ignore nulls over (partition by {key} order by pos)") for k in range(n - 1, 0, -1)]
+    out = solid.withColumn("context", F.filter(F.array(*back), lambda x: x.isNotNull()) if n > 1 else F.array().cast("array<string>"))
+    return out.drop("_solid")
 
 
 def perplexity(words: DataFrame, key: str, tables: list[DataFrame], n: int) -> DataFrame:

@@ -41,26 +41,25 @@ def prune(confidence: DataFrame, least: float) -> DataFrame:
     return confidence.where(F.col("confidence") >= least)
 
 
-def word_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two arrays: the rows of the table are folded over a's elements."""
-    first = F.transform(F.sequence(F.lit(0), F.size(b)), lambda i: i)
-
-    def row(previous: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            cost = F.when(x == F.get(b, j), 0).otherwise(1)
-            here = F.least(F.get(previous, j) + cost, F.get(previous, j + 1) + 1, F.element_at(acc, -1) + 1)
-            return F.concat(acc, F.array(here))
+#: Characters that stand for words where a pair has no more different words than these.
+_FIRST_SYMBOL, _SYMBOLS = 0x3400, 0xD7FF - 0x3400
 
-        places = F.filter(F.sequence(F.lit(0), F.size(b)), lambda j: j < F.size(b))
-        return F.aggregate(places, F.array(F.get(previous, F.lit(0)) + 1), cell)
 
-    return F.element_at(F.aggregate(a, first, row), -1)
+def word_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two arrays of words: each different word of the pair becomes a character, and the built-in
+    distance of strings does the rest."""
+    known = F.array_distinct(F.concat(a, b))
+    symbol = lambda w: F.decode(F.unhex(F.hex(F.lit(_FIRST_SYMBOL) + F.array_position(known, w))), "UTF-16BE")
+    text = lambda x: F.array_join(F.transform(x, symbol), "")
+    distance = F.levenshtein(text(a), text(b))
+    return F.when(F.size(known) <= _SYMBOLS, distance).otherwise(F.raise_error(F.lit("more different words than symbols")).cast("int"))
 
 
-def mbr(nbest: DataFrame, weight: float = MBR_WEIGHT, power: float = MBR_POWER) -> DataFrame:
+def mbr(nbest: DataFrame, weight: float = MBR_WEIGHT, power: float = MBR_POWER, most: int | None = None) -> DataFrame:
     """risk = sum over sentences j of 10^((s_j - max) weight) distance(i, j)^power, ascending (ties: the old rank). The
-    pairs are those of one stream's N best, N a parameter of the search."""
+    pairs are those of one stream's sentences, of the `most` best where that is given."""
     top = F.max("score").over(Window.partitionBy("stream"))
+    nbest = nbest if most is None else nbest.where(F.col("rank") <= most)
     n = nbest.withColumn("_e", F.pow(F.lit(10.0), (F.col("score") - top) * weight))
     a, b = n.alias("a"), n.alias("b")
     pairs = a.join(b, F.col("a.stream") == F.col("b.stream"))

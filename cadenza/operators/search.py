@@ -88,11 +88,13 @@ def nbest(trellis: DataFrame, lm: dict[tuple[int | None, int], float], n: int =
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         score = lambda a, b: lm.get((a, b), default)
         entries = [{"id": r.id, "wid": r.wid, "begin": r.begin_t, "end": r.end_t, "am": r.am, "lm": score} for r in pdf.sort_values(["end_t", "begin_t", "wid"]).itertuples()]
+        ended: dict[int, list[dict]] = {}  # in order of their end, so those before an entry are complete
         for e in entries:
-            before = [p["best"] + score(p["wid"], e["wid"]) for p in entries if p["end"] == e["begin"] - 1 and "best" in p]
+            before = [p["best"] + score(p["wid"], e["wid"]) for p in ended.get(e["begin"] - 1, [])]
             start = [score(None, e["wid"])] if e["begin"] == 0 else []
             if before or start:
                 e["best"] = e["am"] + max(before + start)
+                ended.setdefault(e["end"], []).append(e)
         rows = [(pdf["stream"].iloc[0], r["rank"], r["words"], r["score"]) for r in sentences([e for e in entries if "best" in e], n, **limits)]
         return pd.DataFrame(rows, columns=["stream", "rank", "words", "score"])
 

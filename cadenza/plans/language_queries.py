@@ -35,17 +35,17 @@ def _model(spark, d, order):
 
 
 def _conversation_grams(spark, d, n):
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), "text")
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("sid"), "text")
     return L.sentence_grams(c, "sid", "text", n)
 
 
 def _conversation_words(spark, d):
     """(conv, pos, w): the conversations' turns as sentences, which the model does not know."""
-    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), "text")
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("sid"), "text")
     return L.sentence_words(c, "sid", "text")
 
 
-_CONV = """cw AS (SELECT sid, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT conv_id * 1000 + turn AS sid, ['<s>'] || regexp_extract_all(lower(text), '[a-z]+') || ['</s>'] AS ws FROM conversations)),
+_CONV = """cw AS (SELECT sid, unnest(range(len(ws))) AS pos, unnest(ws) AS w FROM (SELECT conv_id * 1000000 + turn AS sid, ['<s>'] || regexp_extract_all(lower(text), '[a-z]+') || ['</s>'] AS ws FROM conversations)),
 cb AS (SELECT sid, pos, w1, w2 FROM (SELECT sid, pos, lag(w) OVER (PARTITION BY sid ORDER BY pos) AS w1, w AS w2 FROM cw) WHERE w1 IS NOT NULL),
 ct AS (SELECT * FROM (SELECT sid, pos, lag(w, 2) OVER k AS w1, lag(w) OVER k AS w2, w AS w3 FROM cw WINDOW k AS (PARTITION BY sid ORDER BY pos)) WHERE w1 IS NOT NULL)"""
 _SCORED_BI = "sb AS (SELECT q.*, coalesce(p2.p, coalesce(CASE WHEN q.w1 <> '<s>' THEN b1.b END, 0) + coalesce(p1.p, -1000000)) AS p FROM cb q LEFT JOIN p2 USING (w1, w2) LEFT JOIN b1 ON b1.w1 = q.w1 LEFT JOIN p1 ON p1.w1 = q.w2)"

@@ -177,13 +177,11 @@ def sessions(df: DataFrame, column: str, gap: str) -> DataFrame:
 
 
 # --- control ------------------------------------------------------------------------------------------------------
-#: The events that callbacks can be bound to.
-EVENTS = [
-    "poll", "online", "offline", "process_on", "process_off", "stream_begin", "stream_end", "recognition_begin", "recognition_end",
-    "segment_begin", "segment_end", "speech_ready", "speech_start", "speech_stop", "pass1_begin", "pass1_frame", "pass1_interim", "pass1_result",
-    "pass1_end", "pass2_begin", "pass2_end", "result", "gmm_result", "status", "status_parameters", "lattice", "network",
-    "captured", "triggered", "pause", "pause_function", "resume", "terminate",
-]
+#: The events that this engine raises, and what a callback is given: the number of a batch, or the name of what changed.
+EVENTS = {
+    "batch_begin": "number", "batch_end": "number", "batch_skipped": "number", "paused": None, "resumed": None, "terminated": None, "ended": None,
+    "grammars_changed": "version", "process_added": "name", "process_removed": "name", "process_activated": "name", "process_deactivated": "name", "process_selected": "name",
+}
 
 
 class Control:
@@ -230,7 +228,7 @@ class Control:
         for name, target, payload in self.wait:
             if name in ("PAUSE", "TERMINATE", "RESUME", "DIE"):
                 self.state = {"PAUSE": "paused", "TERMINATE": "paused", "RESUME": "running", "DIE": "ended"}[name]
-                self.fire({"PAUSE": "pause", "TERMINATE": "terminate", "RESUME": "resume", "DIE": "offline"}[name])
+                self.fire({"PAUSE": "paused", "TERMINATE": "terminated", "RESUME": "resumed", "DIE": "ended"}[name])
             elif name == "INPUTONCHANGE":
                 self.on_change = target
             elif name in ("ADDGRAM", "CHANGEGRAM"):
@@ -244,18 +242,23 @@ class Control:
                 self.grammars.add_words(int(target), payload)
             elif name == "CURRENTPROCESS":
                 self.current = target
+                self.fire("process_selected", target)
             elif name == "SHIFTPROCESS" and self.processes:
                 names = sorted(self.processes)
                 self.current = names[(names.index(self.current) + 1) % len(names)] if self.current in names else names[0]
+                self.fire("process_selected", self.current)
             elif name == "ADDPROCESS":
                 self.processes[target] = True
+                self.fire("process_added", target)
             elif name == "DELPROCESS":
-                self.processes.pop(target, None)
+                if self.processes.pop(target, None) is not None:
+                    self.fire("process_removed", target)
             elif name in ("ACTIVATEPROCESS", "DEACTIVATEPROCESS") and target in self.processes:
                 self.processes[target] = name == "ACTIVATEPROCESS"
-                self.fire("process_on" if self.processes[target] else "process_off", target)
+                self.fire("process_activated" if self.processes[target] else "process_deactivated", target)
         self.wait.clear()
-        self.grammars.update()
+        if self.grammars.update():
+            self.fire("grammars_changed", self.grammars.version)
 
 
 def run_batches(df: DataFrame, control: Control, consume: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
@@ -264,9 +267,11 @@ def run_batches(df: DataFrame, control: Control, consume: Callable[[DataFrame, i
     def each(batch: DataFrame, number: int) -> None:
         control.apply()
         if control.state == "running":
-            control.fire("recognition_begin", number)
+            control.fire("batch_begin", number)
             consume(batch, number)
-            control.fire("recognition_end", number)
+            control.fire("batch_end", number)
+        else:
+            control.fire("batch_skipped", number)
 
     writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -49,7 +49,7 @@ def test_endpointer(spark, tmp_path):
 def test_control_and_batches(spark, tmp_path):
     data = spark.createDataFrame([(1, t) for t in range(6)], "stream int, t long")
     c, seen, fired = live.Control(), [], []
-    c.bind("pause", lambda: fired.append("pause"))
+    c.bind("paused", lambda: fired.append("pause"))
     assert c.command("STATUS") == "running"
     c.command("ADDGRAM", "g", ([], {}, []))
     c.command("ADDPROCESS", "p")
