@@ -139,9 +139,10 @@ def judge(df: DataFrame, url: str = "url", rules: list[tuple[str, str]] = RULES,
     """page_id, host, path, rule, verdict and the model's score (probability that the URL is to be blocked) of each row."""
     host, path = split_url(F.col(url))
     out = _ruled(df.select("page_id", host.alias("host"), path.alias("path")), rules)
-    score = model_score(F.col("host"), F.col("path"), train(tuple(labelled)))
-    verdict = F.coalesce("ruling", F.when(score >= 0.5, "block").otherwise("allow"))
-    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round(score, 6).alias("score"))
+    # a column of its own: the verdict and the rounded score use it, and it is computed once
+    scored = out.withColumn("_score", model_score(F.col("host"), F.col("path"), train(tuple(labelled))))
+    verdict = F.coalesce("ruling", F.when(F.col("_score") >= 0.5, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("_score", 6).alias("score"))
 
 
 def oracle() -> str:
