@@ -12,8 +12,8 @@ import pyarrow as pa
 import regex
 
 #: Chunks whose result a worker remembers, characters that they may have on average, and the longest chunk that is
-#: remembered at all; at the limit the memo starts anew, so its memory is bounded whatever the script and spacing of texts
-#: (a result takes at most 16 bytes a character).
+#: remembered at all; beyond that those not met lately are forgotten, so memory is bounded whatever the script and spacing
+#: of texts (a result takes at most 16 bytes a character).
 MEMO, MEMO_CHARS, LONGEST = 500_000, 16, 128
 END_OF_WORD = "</w>"
 #: Python counts these four as white space, the tokenizers library does not.
@@ -148,17 +148,21 @@ class WordSplitter:
 
 
 class Memo(dict):
-    """What a function gave for each key; at `most` keys, or `most` times MEMO_CHARS characters of keys, it starts anew.
+    """What a function gave for each key, in two generations of half of `most` keys, or of MEMO_CHARS characters a key. A
+    full generation takes the older one's place; a key met again comes back from there, so frequent keys are never lost.
     Keys longer than LONGEST are computed each time: texts without blanks hardly repeat."""
 
     def __init__(self, make, most: int = MEMO):
-        self.make, self.most, self.held = make, most, 0
+        self.make, self.most, self.held, self.older = make, most // 2, 0, {}
 
     def __missing__(self, key):
-        out = self.make(key)
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
         if (n := len(key)) <= LONGEST:
             self.held += n
             if len(self) >= self.most or self.held > self.most * MEMO_CHARS:
+                self.older = dict(self)
                 self.clear()
                 self.held = n
             self[key] = out

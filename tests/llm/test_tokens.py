@@ -106,5 +106,11 @@ def test_memo_is_bounded_in_bytes():
         assert memo[k] == k.encode() * 4
         assert len(memo) <= 1_000 and max(map(len, memo)) <= V.LONGEST
     assert sum(map(len, memo)) == memo.held <= 1_000 * V.MEMO_CHARS
+    made = []
+    kept = V.Memo(lambda k: made.append(k) or len(k), 100)
+    for i in range(5_000):
+        assert kept[f"rare{i}"] == len(f"rare{i}") and kept["frequent"] == 8
+        assert len(kept) <= 50 and len(kept.older) <= 50
+    assert made.count("frequent") == 1
     small = V.Memo(lambda k: 1, 10)
     assert [small[str(i % 5)] for i in range(50)] == [1] * 50 and len(small) == 5
