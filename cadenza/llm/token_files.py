@@ -29,11 +29,12 @@ _SCHEMA = "doc_id {kind}, part int, local_start long, n_tokens long, ids array<i
 
 
 class Encoder:
-    """The ids that the library gives; a pre-token never reaches across white space, so they are remembered by chunk."""
+    """The ids that the library gives; a pre-token never reaches across white space, so they are remembered by chunk.
+    Pre-tokens of chunks that hold several are remembered apart, as their letters stand for bytes."""
 
     def __init__(self, name: str):
         self.splitter = WordSplitter(name)
-        self.words, self.chunks = Memo(self.word, MEMO // 2), Memo(self.chunk)
+        self.words, self.chunks = Memo(self.word, MEMO // 4), Memo(self.chunk, MEMO * 5 // 4)
 
     def word(self, pretoken: str) -> bytes:
         s = self.splitter
@@ -41,8 +42,10 @@ class Encoder:
         return array("i", ids).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha() and chunk.isascii():
+            return self.word(chunk.lower())
         found = self.splitter.pretokens(chunk)
-        return self.words[found[0]] if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
+        return self.word(found[0]) if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
 
     def text(self, text: str) -> bytes:
         if SEPARATORS.search(text):
