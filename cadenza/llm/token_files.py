@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ from cadenza.llm.common import bound_batches
 from cadenza.llm.vocabulary import MEMO, SEPARATORS, Memo, WordSplitter
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
+#: Chunks that a worker remembers and the characters that they may have on average.
+HELD, HELD_CHARS = 5 * MEMO // 2, 12
+#: Marks that are a pre-token by themselves behind a word.
+MARKS = frozenset(".,;:!?)\"")
 _SCHEMA = "doc_id {kind}, part int, local_start long, n_tokens long, ids array<int>"
 
 
@@ -34,7 +39,7 @@ class Encoder:
 
     def __init__(self, name: str):
         self.splitter = WordSplitter(name)
-        self.words, self.chunks = Memo(self.word, MEMO // 4), Memo(self.chunk, MEMO * 5 // 4)
+        self.words, self.chunks = Memo(self.word, MEMO // 4), Memo(self.chunk, HELD, HELD_CHARS)
 
     def word(self, pretoken: str) -> bytes:
         s = self.splitter
@@ -42,8 +47,11 @@ class Encoder:
         return array("i", ids).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha() and chunk.isascii():
-            return self.word(chunk.lower())
+        if chunk.isascii():
+            if chunk.isalpha():
+                return array("i", [t.id for t in self.splitter.model.tokenize(chunk.lower())]).tobytes()
+            if chunk[:-1].isalpha() and chunk[-1] in MARKS:
+                return self.chunks[chunk[:-1].lower()] + self.words[chunk[-1]]
         found = self.splitter.pretokens(chunk)
         return self.word(found[0]) if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
 
@@ -52,6 +60,24 @@ class Encoder:
             return self.chunk(text)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
+    def column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, each text's with the end id, and where each text's ids stop. Each
+        distinct chunk of the column is looked up once."""
+        if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():
+            end = np.array([end_id], "<i4").tobytes()
+            packed = [self.text(t) + end for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(packed), "<i4"), np.cumsum([len(p) // 4 for p in packed])
+        split = pc.utf8_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        packed, of = [self.chunks[c] for c in chunks.dictionary.to_pylist()], chunks.indices.to_numpy()
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        stops, n = np.cumsum(sizes), sizes[of]
+        ends = np.cumsum(n)
+        at = np.repeat((stops - sizes)[of] - ends + n, n)  # from an id's place to its place among the distinct chunks'
+        at += np.arange(len(at))
+        bounds = np.concatenate([[0], ends])[np.cumsum(split.value_lengths().to_numpy())]
+        return np.insert(np.frombuffer(b"".join(packed), "<i4")[at], bounds, end_id), bounds + np.arange(1, len(texts) + 1)
+
 
 @lru_cache(maxsize=1)
 def _encoder(name: str) -> Encoder:
@@ -68,15 +94,15 @@ def write(df: DataFrame, path: str, text: str = "text", vocabulary: str = VOCABU
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, encoder, end = TaskContext.get().partitionId(), 0, _encoder(vocabulary), np.array([end_id], "<i4").tobytes()
+        part, at, encoder = TaskContext.get().partitionId(), 0, _encoder(vocabulary)
         for b in batches:
-            packed = [encoder.text(t) for t in b.column("text").to_pylist()]
-            n = np.fromiter((len(p) // 4 + 1 for p in packed), np.int64, len(packed))
-            stops = np.cumsum(n)
-            values = pa.array(np.frombuffer(end.join([*packed, b""]), "<i4"), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), values)
+            if not b.num_rows:
+                continue
+            ids, stops = encoder.column(b.column("text"), end_id)
+            n = np.diff(stops, prepend=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + stops - n), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
-            at += int(stops[-1]) if len(n) else 0
+            at += int(stops[-1])
 
     (
         dealt.select("doc_id", "text").mapInArrow(encoded, _SCHEMA.format(kind=kind))

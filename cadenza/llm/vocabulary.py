@@ -148,12 +148,12 @@ class WordSplitter:
 
 
 class Memo(dict):
-    """What a function gave for each key, in two generations of half of `most` keys, or of MEMO_CHARS characters a key. A
-    full generation takes the older one's place; a key met again comes back from there, so frequent keys are never lost.
+    """What a function gave for each key, in two generations of half of `most` keys, or of `chars` characters a key. A full
+    generation takes the older one's place; a key met again comes back from there, so frequent keys are never lost.
     Keys longer than LONGEST are computed each time: texts without blanks hardly repeat."""
 
-    def __init__(self, make, most: int = MEMO):
-        self.make, self.most, self.held, self.older = make, most // 2, 0, {}
+    def __init__(self, make, most: int = MEMO, chars: int = MEMO_CHARS):
+        self.make, self.most, self.chars, self.held, self.older = make, most // 2, most // 2 * chars, 0, {}
 
     def __missing__(self, key):
         out = self.older.get(key)
@@ -161,7 +161,7 @@ class Memo(dict):
             out = self.make(key)
         if (n := len(key)) <= LONGEST:
             self.held += n
-            if len(self) >= self.most or self.held > self.most * MEMO_CHARS:
+            if len(self) >= self.most or self.held > self.chars:
                 self.older = dict(self)
                 self.clear()
                 self.held = n

@@ -85,6 +85,25 @@ def test_token_files(spark, docs, nothing, texts, tmp_path, parts):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_columns_and_single_texts_agree(texts):
+    """Chunks are cut by Arrow for a column and by Python for texts with separators; both give the library's ids."""
+    import sys
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    e, tk = token_files.Encoder(token_files.VOCABULARY), library(token_files.VOCABULARY)
+    odd = ["", " ", "Word, word. word! (word) 'quoted' it's it's. A.B. 3,4 x: y; Émile, Zürich. \u00a0a\u2003b\u0085c", "<|endoftext|>, a<|endoftext|>."]
+    for some in ([t or "" for t in texts], [t for t in map(lambda t: t or "", texts) if not set(t) & set("\x1c\x1d\x1e\x1f")] + odd, odd[:1], odd[:2]):
+        ids, stops = e.column(pa.array(some), 2)
+        want = [tk.encode(t, add_special_tokens=False).ids + [2] for t in some]
+        assert ids.tolist() == [i for w in want for i in w]
+        assert stops.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    every = [f"a{chr(i)}b" for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and not 0x1C <= i <= 0x1F]
+    cut = pc.equal(pc.list_value_length(pc.utf8_split_whitespace(pa.array(every))), 2).to_pylist()
+    assert all(t[1].isspace() for t, c in zip(every, cut) if c)
+
+
 def test_token_files_have_bloom_filters_and_stripes(spark, tmp_path):
     import pyarrow.orc as orc
 
