@@ -28,6 +28,8 @@ from cadenza.llm.vocabulary import MEMO, SEPARATORS, Memo, WordSplitter
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Chunks that a worker remembers and the characters that they may have on average.
 HELD, HELD_CHARS = 5 * MEMO // 2, 12
+#: Bytes of text that are encoded at once.
+PIECE = 4 << 20
 #: Marks that are a pre-token by themselves behind a word.
 MARKS = frozenset(".,;:!?)\"")
 _SCHEMA = "doc_id {kind}, part int, local_start long, n_tokens long, ids array<int>"
@@ -70,15 +72,24 @@ class Encoder:
         split = pc.utf8_split_whitespace(texts)
         chunks = split.flatten().dictionary_encode()
         packed, of = [self.chunks[c] for c in chunks.dictionary.to_pylist()], chunks.indices.to_numpy()
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        stops, n = np.cumsum(sizes), sizes[of]
-        ends = np.cumsum(n)
+        sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+        stops, n = np.cumsum(sizes, dtype=np.int32), sizes[of]
+        ends = np.cumsum(n, dtype=np.int32)
         at = np.repeat((stops - sizes)[of] - ends + n, n)  # from an id's place to its place among the distinct chunks'
-        at += np.arange(len(at))
+        at += np.arange(len(at), dtype=np.int32)
         bounds = np.concatenate([[0], ends])[np.cumsum(split.value_lengths().to_numpy())]
         return np.insert(np.frombuffer(b"".join(packed), "<i4")[at], bounds, end_id), bounds + np.arange(1, len(texts) + 1)
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about PIECE bytes of text, one row at least: what is made of a batch is many times its size."""
+    for b in batches:
+        if b.num_rows:
+            part = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64) // PIECE
+            starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            yield from (b.slice(i, j - i) for i, j in zip(starts, starts[1:]))
+
+
 @lru_cache(maxsize=1)
 def _encoder(name: str) -> Encoder:
     return Encoder(name)
@@ -95,14 +106,13 @@ def write(df: DataFrame, path: str, text: str = "text", vocabulary: str = VOCABU
         from pyspark import TaskContext
 
         part, at, encoder = TaskContext.get().partitionId(), 0, _encoder(vocabulary)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches):
             ids, stops = encoder.column(b.column("text"), end_id)
             n = np.diff(stops, prepend=0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stops]).astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + stops - n), pa.array(n), lists], names=["doc_id", "part", "local_start", "n_tokens", "ids"])
             at += int(stops[-1])
+            pa.default_memory_pool().release_unused()
 
     (
         dealt.select("doc_id", "text").mapInArrow(encoded, _SCHEMA.format(kind=kind))

@@ -104,6 +104,17 @@ def test_columns_and_single_texts_agree(texts):
     assert all(t[1].isspace() for t, c in zip(every, cut) if c)
 
 
+def test_pieces_hold_all_rows_in_order(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "PIECE", 10)
+    texts = ["", "abc", "d" * 35, "", "é" * 4, "e", "f" * 10]
+    whole = pa.RecordBatch.from_pydict({"text": texts})
+    got = [p.column("text").to_pylist() for p in token_files.pieces(iter([whole.slice(0, 0), whole, whole.slice(1, 1)]))]
+    assert [t for p in got for t in p] == [*texts, "abc"] and all(got)
+    assert all(sum(len(t.encode()) for t in p[1:]) <= 10 for p in got)
+
+
 def test_token_files_have_bloom_filters_and_stripes(spark, tmp_path):
     import pyarrow.orc as orc
 
