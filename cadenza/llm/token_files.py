@@ -71,7 +71,7 @@ class Encoder:
             return np.frombuffer(b"".join(packed), "<i4"), np.cumsum([len(p) // 4 for p in packed])
         split = pc.utf8_split_whitespace(texts)
         chunks = split.flatten().dictionary_encode()
-        packed, of = [self.chunks[c] for c in chunks.dictionary.to_pylist()], chunks.indices.to_numpy()
+        packed, of = list(map(self.chunks.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False))), chunks.indices.to_numpy()
         sizes = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
         stops, n = np.cumsum(sizes, dtype=np.int32), sizes[of]
         ends = np.cumsum(n, dtype=np.int32)

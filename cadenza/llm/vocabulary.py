@@ -18,6 +18,8 @@ MEMO, MEMO_CHARS, LONGEST = 500_000, 16, 128
 END_OF_WORD = "</w>"
 #: Python counts these four as white space, the tokenizers library does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: These, and all beyond Latin Extended-B.
+_LEFT_TO_LIBRARY = re.compile("[\x1c-\x1f\u0250-\U0010ffff]")
 #: The word vocabulary's pattern, for ASCII and for Latin letters.
 _WORD_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _WORD_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -140,7 +142,7 @@ class WordSplitter:
                 return _WORD_ASCII.findall(low)
             if not SEPARATORS.search(part):
                 return [w.translate(self.letters) for w in _WORD_ASCII.findall(low)]
-        elif max(part) < "\u0250" and not SEPARATORS.search(part):
+        elif not _LEFT_TO_LIBRARY.search(part):
             low, letters = unicodedata.normalize("NFC", part).lower(), self.letters
             found = (low,) if low.isalpha() else _WORD_LATIN.findall(low)
             return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters) for w in found]
