@@ -40,12 +40,13 @@ def strip_runs(df: DataFrame, run: int = INVALID_RUN, invalid: tuple = INVALID_S
 
 def remove_dc(df: DataFrame, chunk: int, upto: int = DC_SAMPLES) -> DataFrame:
     """Subtracts the running mean of the first `upto` samples. A chunk is added to the mean before it is subtracted;
-    afterwards the mean is frozen. Results are clipped to 16 bits and rounded half away from zero."""
+    afterwards the mean is frozen. Results are clipped to 16 bits and rounded half away from zero; what is a half is decided
+    at nine digits, so that it does not depend on the order in which the mean was added up."""
     at = F.floor((F.row_number().over(by("seq")) - 1) / chunk)
     used = F.col("_k") < math.ceil(upto / chunk)
     w = by("_k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumn("_k", at).withColumn("_mean", F.sum(F.when(used, F.col("x"))).over(w) / F.count(F.when(used, F.col("x"))).over(w))
-    y = F.col("x") - F.col("_mean")
+    y = F.round(F.col("x") - F.col("_mean"), 9)
     rounded = F.when(y < 0, F.ceil(y - 0.5)).otherwise(F.floor(y + 0.5))
     return out.withColumn("x", F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), rounded.cast("double")))).drop("_k", "_mean")
 

@@ -221,3 +221,10 @@ def test_dictionary(spark):
     assert one(spark, F.struct(dictionary.centre(n), dictionary.left_centre(n), dictionary.right_centre(n), dictionary.with_left(n, F.lit("x")), dictionary.with_right(n, F.lit("y")))) == ("c", "l-c", "c+r", "x-c+r", "l-c+y")
     t = spark.createDataFrame([("m", 0, 1, 0.0), ("m", 1, 1, math.log10(0.5)), ("m", 1, 2, math.log10(0.5)), ("x", 0, 1, -1.0), ("x", 1, 2, 0.0)], "model string, i int, j int, logp double")
     assert rows(dictionary.check_models(t)) == [("x", "sum")]
+
+
+def test_dc_removal_halves(spark):
+    # the last sample less the mean is 5.5 exactly; the mean's last bit makes it less
+    xs = [2.78, 183.74, 12.43, 193.53, 71.31, 186.87, 151.02, 56.21, 166.75, 119.96]
+    df = spark.createDataFrame(list(enumerate(xs)), "seq int, x double").withColumn("stream", F.lit(1))
+    assert [r.x for r in S.remove_dc(df, 10, 10).where("seq = 9").collect()] == [6.0]
