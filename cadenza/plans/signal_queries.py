@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import signal as S
 from cadenza.functions.arrays import squared_sum
 from cadenza.operators import segment as V
-from cadenza.plans.registry import CELLS, FRAMES, STREAMS, cells, frames, register, rounded, streams
+from cadenza.plans.registry import CELLS, FRAMES, STREAMS, cells, frames, register, rounded, streams, table
 
 
 @register(f"WITH {STREAMS} SELECT stream, seq, trunc(x * 1.5) + 0.0 AS x FROM st")
@@ -150,7 +151,10 @@ def mfcc(spark, d):
 
 @register("WITH m AS (SELECT user_id AS stream, avg(value) AS mean FROM events GROUP BY ALL), g AS (SELECT stream, round(0.8 + i * 0.02, 6)::DOUBLE AS alpha, -abs(mean - round(0.8 + i * 0.02, 6)::DOUBLE * 50) AS s FROM m, range(21) r(i)) SELECT stream, arg_min(alpha, (-s, alpha)) AS alpha, round(max(s), 6) + 0.0 AS score FROM g GROUP BY stream")
 def warp_search(spark, d):
-    f = streams(spark, d).groupBy("stream").agg(F.avg("x").alias("mean"))
+    # added up in the table's order: half-way scores turn on the last bit of the mean
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = table(spark, d, "events").select(F.col("user_id").alias("stream"), "event_id", F.avg("value").over(w).alias("mean"))
+    f = e.groupBy("stream").agg(F.max_by("mean", "event_id").alias("mean"))
     return S.warp_grid(f, lambda alpha: -F.abs(F.col("mean") - alpha * 50)).withColumn("score", rounded("score"))
 
 

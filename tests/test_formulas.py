@@ -228,3 +228,11 @@ def test_dc_removal_halves(spark):
     xs = [2.78, 183.74, 12.43, 193.53, 71.31, 186.87, 151.02, 56.21, 166.75, 119.96]
     df = spark.createDataFrame(list(enumerate(xs)), "seq int, x double").withColumn("stream", F.lit(1))
     assert [r.x for r in S.remove_dc(df, 10, 10).where("seq = 9").collect()] == [6.0]
+
+
+def test_warp_search_does_not_depend_on_files(spark, tmp_path):
+    from cadenza.plans.signal_queries import warp_search
+
+    events = spark.read.parquet("/root/testdata/sf0.1/events.parquet")
+    events.repartition(8, (F.xxhash64("event_id") % 8)).write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(warp_search(spark, str(tmp_path))) == rows(warp_search(spark, "/root/testdata/sf0.1"))
