@@ -155,15 +155,23 @@ def read_cmn(text: str) -> dict[str, list[float]]:
 
 # --- language models, dictionaries, grammars ----------------------------------------------------------------------
 def read_arpa(spark: SparkSession, path: str, reverse: bool = False) -> list[DataFrame]:
-    """One table per order: w1..wn, logp, bow. Lines get their section from the last header before them, per file. In
-    reverse models the words of an entry are turned round, and <s> takes the value of </s> where it has -99."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    w = Window.partitionBy("file").orderBy("n")
+    """One table per order: w1..wn, logp, bow. Lines get their section from the last header before them, per file; the
+    part files of one folder, in order of their names, are one text. In reverse models the words of an entry are turned
+    round, and <s> takes the value of </s> where it has -99.
+
+    Files are read in splits, line by line. A line's place is its file, where its split begins and how many lines are before it
+    there, so only the headers, a few lines a file, are put in order; the others look up the section that holds their place."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(place.alias("at"), F.col("value").alias("line"))
+    lines = lines.withColumn("text", F.regexp_replace("at.file", r"/part-\d{5}[^/]*$", "/"))
     order = F.regexp_extract("line", r"^\\(\d+)-grams:", 1)
-    header = F.when(F.startswith("line", F.lit("\\")), F.when(order != "", order).otherwise("0").cast("int"))
-    marked = lines.withColumn("k", F.last(header, ignorenulls=True).over(w))
-    body = marked.where("k > 0").withColumn("f", F.split(F.trim("line"), r"\s+")).where(F.size("f") > F.col("k")).select("k", "f")
-    orders = sorted(r.k for r in body.select("k").distinct().collect())
+    k = F.when(order != "", order).otherwise("0").cast("int")
+    until = F.lead("at").over(Window.partitionBy("text").orderBy("at"))
+    sections = lines.where(F.startswith("line", F.lit("\\"))).select("text", k.alias("k"), F.col("at").alias("since"), until.alias("until")).where("k > 0")
+    inside = (F.col("l.text") == F.col("s.text")) & (F.col("at") > F.col("since")) & (F.col("until").isNull() | (F.col("at") < F.col("until")))
+    marked = lines.alias("l").join(F.broadcast(sections.alias("s")), inside).select("line", "k")
+    body = marked.withColumn("f", F.split(F.trim("line"), r"\s+")).where(F.size("f") > F.col("k")).select("k", "f")
+    orders = sorted(r.k for r in sections.select("k").distinct().collect())
     out = []
     for k in orders:
         words = [F.get("f", F.lit(i)).alias(f"w{(k - i + 1) if reverse else i}") for i in range(1, k + 1)]

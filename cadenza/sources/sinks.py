@@ -83,9 +83,12 @@ def arpa_lines(tables: list[DataFrame]) -> DataFrame:
     return out.unionByName(spark.createDataFrame([(len(tables) + 1, 0, "\\end\\")], out.schema))
 
 
-def write_arpa(tables: list[DataFrame], path: str) -> None:
-    """One file: the text form needs its lines together and in order."""
-    arpa_lines(tables).repartition(1).sortWithinPartitions("section", "n", "line").select("line").write.mode("overwrite").text(path)
+def write_arpa(tables: list[DataFrame], path: str, parts: int | None = None) -> None:
+    """The text form in part files: one after the other, in order of their names, they are the file. No task has all lines;
+    parts=1 makes a single file."""
+    lines = arpa_lines(tables)
+    dealt = lines.repartitionByRange(*([parts] if parts else []), "section", "n", "line")
+    dealt.sortWithinPartitions("section", "n", "line").select("line").write.mode("overwrite").text(path)
 
 
 def wav_bytes(samples: np.ndarray, rate: int) -> bytes:

@@ -67,6 +67,35 @@ def test_arpa_round_trip(spark, tmp_path):
         assert x == y
 
 
+def test_arpa_in_parts_and_splits(spark, tmp_path):
+    import glob
+    import shutil
+
+    docs = spark.createDataFrame([(i, " ".join("abcdefghij"[(i * j) % 10] * (1 + j % 3) for j in range(1, 9))) for i in range(50)], "id int, text string")
+    t = ngram.estimate(ngram.sentence_words(docs, "id", "text"), "id", 2)
+    want = [rows(x.select(*[c for c in x.columns if c.startswith("w")], F.round("logp", 5))) for x in t]
+    W.write_arpa(t, f"{tmp_path}/lm", 5)
+    parts = sorted(glob.glob(f"{tmp_path}/lm/part-*"))
+    assert len(parts) > 1
+    with open(f"{tmp_path}/one.arpa", "wb") as f:  # the parts are the file; text before its beginning is no entry
+        f.write(b"-1.0 a comment\n")
+        for p in parts:
+            with open(p, "rb") as part:
+                shutil.copyfileobj(part, f)
+    shutil.copytree(f"{tmp_path}/lm", f"{tmp_path}/two/lm")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        assert spark.read.text(f"{tmp_path}/one.arpa").rdd.getNumPartitions() > 3
+        for path in (f"{tmp_path}/lm", f"{tmp_path}/one.arpa"):
+            back = R.read_arpa(spark, path)
+            assert [rows(x.select(*[c for c in x.columns if c.startswith("w")], F.round("logp", 5))) for x in back] == want
+            # entries come line by line: no row holds a whole file
+            assert "wholetext" not in back[0]._jdf.queryExecution().toString().lower()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
 def test_backoff_cases(spark):
     uni = spark.createDataFrame([("a", -1.0, -0.5), ("b", -0.5, None), ("<unk>", -2.0, None)], "w1 string, logp double, bow double")
     bi = spark.createDataFrame([("a", "b", -0.1)], "w1 string, w2 string, logp double")
